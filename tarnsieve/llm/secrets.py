@@ -1,0 +1,406 @@
+"""Operator 2: secret scans by one combined deterministic automaton.
+
+RULES are regular expressions over bytes (literals, escapes, classes, groups, alternation and the repeats ? * + {m}
+{m,} {m,n}). All of them together become one automaton by Thompson's construction, subset construction over classes of
+equivalent bytes, and minimisation by partition refinement: a transition array and, for each state, the set of rules
+that end there. One pass over the bytes runs it. The pass is cut into lanes that advance in step, a column of bytes at
+a time, in numpy; a lane begins as if nothing went before, and where the lane before ends in another state it is run
+again from that state up to where both runs meet, so the states are those of one unbroken run.
+
+Counting inside an automaton for all rules would multiply its states (a key may begin at any place within another), so
+the combined one counts no repeat beyond CAP and stops at a rule's shortest match. It finds every text and rule that can match; in these the rule's own
+automaton, compiled in full in the same way, gives the matches: from the left, the longest from each start, not
+overlapping.
+
+Result: one row for each match, with doc_id, rule, the match's number in the text (from 1), first byte (from 0), bytes
+and SHA-256, never the secret itself.
+
+Nulls and cases: null and empty texts have no matches; a null doc_id is carried; equal rows give equal matches each.
+Matches never run from one row into the next. Other columns are ignored, whatever their names.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from tarnsieve.llm import common, textkit
+
+RULES = {
+    "assigned-secret": r"""(?:token|secret|password|passwd|api_key|apikey|access_key) ?[:=] ?["']?[A-Za-z0-9_./+\-]{20,}""",
+    "aws-access-key": r"AKIA[0-9A-Z]{16}",
+    "basic-auth-url": r"://[A-Za-z0-9_.\-]+:[A-Za-z0-9_.!$%\-]{3,}@",
+    "github-token": r"gh[pousr]_[A-Za-z0-9]{36}",
+    "gitlab-token": r"glpat-[A-Za-z0-9_\-]{20}",
+    "google-api-key": r"AIza[0-9A-Za-z_\-]{35}",
+    "json-web-token": r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
+    "npm-token": r"npm_[A-Za-z0-9]{36}",
+    "private-key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "slack-token": r"xox[abpr]-[0-9]{10,13}-[0-9]{10,13}-[A-Za-z0-9]{20,}",
+    "stripe-key": r"(?:sk|pk|rk)_live_[0-9A-Za-z]{24,}",
+}
+CAP = 1
+LANES = 2048
+
+
+class Parser:
+    """A regular expression as a tree: ("set", bool[256]) | ("cat", [..]) | ("or", [..]) | ("rep", tree, least, most or None)."""
+
+    def __init__(self, pattern: str):
+        self.p, self.i = pattern.encode("latin-1"), 0
+
+    def tree(self):
+        t = self.either()
+        if self.i != len(self.p):
+            raise ValueError(f"unexpected {self.p[self.i :]!r}")
+        return t
+
+    def peek(self) -> bytes:
+        return self.p[self.i : self.i + 1]
+
+    def either(self):
+        arms = [self.row()]
+        while self.peek() == b"|":
+            self.i += 1
+            arms.append(self.row())
+        return arms[0] if len(arms) == 1 else ("or", arms)
+
+    def row(self):
+        parts = []
+        while self.peek() not in (b"", b"|", b")"):
+            parts.append(self.repeated())
+        return ("cat", parts)
+
+    def repeated(self):
+        t = self.atom()
+        while (c := self.peek()) and c in b"?*+{":
+            self.i += 1
+            least, most = {b"?": (0, 1), b"*": (0, None), b"+": (1, None)}.get(c, (0, 0))
+            if c == b"{":
+                end = self.p.index(b"}", self.i)
+                low, comma, high = self.p[self.i : end].partition(b",")
+                least, most = int(low), (int(high) if high else None) if comma else int(low)
+                self.i = end + 1
+            t = ("rep", t, least, most)
+        return t
+
+    def atom(self):
+        c = self.peek()
+        self.i += 1
+        if c == b"(":
+            if self.p[self.i : self.i + 2] == b"?:":
+                self.i += 2
+            t = self.either()
+            if self.peek() != b")":
+                raise ValueError("a group isn't closed")
+            self.i += 1
+            return t
+        s = np.zeros(256, bool)
+        if c == b"[":
+            turned = self.peek() == b"^"
+            self.i += turned
+            while (c := self.peek()) != b"]":
+                low = self.literal()
+                high = low
+                if self.peek() == b"-" and self.p[self.i + 1 : self.i + 2] != b"]":
+                    self.i += 1
+                    high = self.literal()
+                s[low : high + 1] = True
+            self.i += 1
+            return ("set", ~s if turned else s)
+        if c == b".":
+            s[:] = True
+            s[10] = False
+            return ("set", s)
+        if c == b"\\" and self.peek() in (b"d", b"w", b"s"):
+            s[[*{b"d": b"0123456789", b"w": b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz", b"s": b"\t\n\f\r "}[self.peek()]]] = True
+            self.i += 1
+            return ("set", s)
+        self.i -= 1
+        s[self.literal()] = True
+        return ("set", s)
+
+    def literal(self) -> int:
+        c = self.p[self.i]
+        self.i += 1
+        if c == ord("\\"):
+            c = self.p[self.i]
+            self.i += 1
+            c = {ord("n"): 10, ord("t"): 9, ord("r"): 13}.get(c, c)
+        return c
+
+
+def capped(tree, cap: int):
+    """The tree with repeats of no more than cap: what it matches begins whatever the full one matches."""
+    kind = tree[0]
+    if kind == "set":
+        return tree
+    if kind == "rep":
+        _, t, least, most = tree
+        return ("rep", capped(t, cap), min(least, cap), None if most is None or most > cap else most)
+    return (kind, [capped(t, cap) for t in tree[1]])
+
+
+def shortest(tree):
+    """The tree without what may follow its shortest matches: a repeat at the end stops at its least count."""
+    kind = tree[0]
+    if kind == "rep":
+        return ("rep", tree[1], tree[2], tree[2])
+    if kind == "cat" and tree[1]:
+        return ("cat", [*tree[1][:-1], shortest(tree[1][-1])])
+    return ("or", [shortest(t) for t in tree[1]]) if kind == "or" else tree
+
+
+class Automaton:
+    """The minimal deterministic automaton of some expressions, unanchored at the left if anywhere is set.
+
+    States count from 0, the start; those from first_accept on accept, and ends says which rules as a bit mask. Class
+    number classes is the end of a row and leads back to the start. In an anchored automaton state dead has no way out.
+    """
+
+    def __init__(self, trees: list, anywhere: bool):
+        self.sets: list[tuple[np.ndarray, int]] = []
+        self.eps: list[list[int]] = []
+        self.step: list[tuple[np.ndarray, int] | None] = []
+        final = {}
+        start = self.node()
+        for r, t in enumerate(trees):
+            a, b = self.build(t)
+            self.eps[start].append(a)
+            final[b] = 1 << r
+        chars = np.array([s for s, _ in (x for x in self.step if x)]) if any(self.step) else np.zeros((1, 256), bool)
+        _, self.classes_of = np.unique(chars, axis=1, return_inverse=True)
+        self.classes_of = self.classes_of.reshape(-1).astype(np.uint8)
+        n_classes = int(self.classes_of.max()) + 1
+        example = [int(np.flatnonzero(self.classes_of == c)[0]) for c in range(n_classes)]
+        closures = [self.closure(i) for i in range(len(self.eps))]
+        goes = [[closures[x[1]] if x and x[0][e] else 0 for e in example] for x in self.step]
+        begin = closures[start]
+        known, todo, table = {begin: 0}, [begin], []
+        while len(table) < len(todo):
+            row = []
+            bits, members = todo[len(table)], []
+            while bits:
+                low = bits & -bits
+                members.append(low.bit_length() - 1)
+                bits ^= low
+            members = [m for m in members if self.step[m]]
+            for c in range(n_classes):
+                to = begin if anywhere else 0
+                for m in members:
+                    to |= goes[m][c]
+                if to not in known:
+                    known[to] = len(todo)
+                    todo.append(to)
+                row.append(known[to])
+            table.append(row)
+        ends = np.array([sum({v for b, v in final.items() if s >> b & 1}) for s in todo], np.int64)
+        self.table, self.ends, at = self.minimal(np.array(table), ends)
+        self.first_accept = int(np.searchsorted(self.ends > 0, True)) if (self.ends > 0).any() else len(self.ends)
+        self.start, self.classes = at, n_classes
+        self.table = np.hstack([self.table, np.full((len(self.table), 1), self.start)]).astype(np.int32)
+        self.dead = next((s for s in range(len(self.table)) if self.ends[s] == 0 and (self.table[s, :-1] == s).all()), -1)
+        self.sets = self.eps = self.step = []
+
+    def node(self) -> int:
+        self.eps.append([])
+        self.step.append(None)
+        return len(self.eps) - 1
+
+    def build(self, t) -> tuple[int, int]:
+        kind = t[0]
+        if kind == "set":
+            a, b = self.node(), self.node()
+            self.step[a] = (t[1], b)
+            return a, b
+        if kind == "cat":
+            a = b = self.node()
+            for x in t[1]:
+                c, d = self.build(x)
+                self.eps[b].append(c)
+                b = d
+            return a, b
+        if kind == "or":
+            a, b = self.node(), self.node()
+            for x in t[1]:
+                c, d = self.build(x)
+                self.eps[a].append(c)
+                self.eps[d].append(b)
+            return a, b
+        _, x, least, most = t
+        a = b = self.node()
+        for _ in range(least):
+            c, d = self.build(x)
+            self.eps[b].append(c)
+            b = d
+        end = self.node()
+        self.eps[b].append(end)
+        if most is None:
+            c, d = self.build(x)
+            self.eps[b].append(c)
+            self.eps[d] += [c, end]
+        for _ in range((most or least) - least):
+            c, d = self.build(x)
+            self.eps[b].append(c)
+            self.eps[d].append(end)
+            b = d
+        return a, end
+
+    def closure(self, i: int) -> int:
+        seen, stack = 0, [i]
+        while stack:
+            x = stack.pop()
+            if not seen >> x & 1:
+                seen |= 1 << x
+                stack += self.eps[x]
+        return seen
+
+    @staticmethod
+    def minimal(table: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        _, block = np.unique(ends, return_inverse=True)
+        while True:
+            _, finer = np.unique(np.column_stack([block, block[table]]), axis=0, return_inverse=True)
+            finer = finer.reshape(-1)
+            if finer.max() == block.max():
+                break
+            block = finer
+        n = block.max() + 1
+        one = np.zeros(n, np.int64)
+        one[block] = np.arange(len(block))
+        order = np.lexsort((np.arange(n) != block[0], ends[one] > 0))  # accepting states last, the start first of its kind
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        return place[block[table[one[order]]]], ends[one[order]], int(place[block[0]])
+
+    def run(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions (of bytes in raw) after which the automaton accepts, and its states there."""
+        symbols = np.insert(self.classes_of[raw], off[1:], self.classes)
+        n = len(symbols)
+        lanes = min(LANES, max(1, n // 64))
+        length = -(-n // lanes)
+        grid = np.full(lanes * length, self.classes, np.uint8)
+        grid[:n] = symbols
+        grid = np.ascontiguousarray(grid.reshape(lanes, length).T)
+        flat, width = self.table.ravel(), self.table.shape[1]
+        scaled = (flat * width).astype(np.int32)  # states as row offsets save a multiplication a byte
+        states = np.empty((length, lanes), np.int32)
+        s = np.full(lanes, self.start * width, np.int32)
+        for i in range(length):
+            np.take(scaled, s + grid[i], out=states[i], mode="clip")
+            s = states[i]
+        wrong, begin = np.arange(1, lanes), np.concatenate([[self.start * width], states[-1][:-1]])
+        wrong = wrong[begin[wrong] != self.start * width]
+        while len(wrong):  # what a lane should have begun with
+            s, lane = begin[wrong].astype(np.int32), wrong
+            ended = []
+            for i in range(length):
+                s = scaled[s + grid[i, lane]]
+                differs = s != states[i, lane]
+                s, lane = s[differs], lane[differs]
+                if not len(lane):
+                    break
+                states[i, lane] = s
+            else:
+                ended = lane
+            wrong = np.array([x + 1 for x in ended if x + 1 < lanes], np.int64)
+            begin = np.concatenate([[self.start * width], states[-1][:-1]])
+        step, lane = np.nonzero(states >= self.first_accept * width)
+        at = lane * length + step
+        order = np.argsort(at)
+        at, found = at[order], states[step, lane][order] // width
+        row = np.searchsorted(off[1:] + np.arange(len(off) - 1), at, "right")
+        return at - row, found
+
+    def longest(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Ends of the longest matches from starts; -1 where there is none."""
+        out = np.full(len(starts), -1)
+        lane, s, i = np.arange(len(starts)), np.full(len(starts), self.start), starts.copy()
+        while len(lane):
+            s = self.table[s, self.classes_of[data[i]]]
+            i = i + 1
+            hit = s >= self.first_accept
+            out[lane[hit]] = i[hit]
+            go = (s != self.dead) & (i < len(data))
+            lane, s, i = lane[go], s[go], i[go]
+        return out
+
+
+class Scanner:
+    def __init__(self, rules: dict[str, str]):
+        trees = [Parser(p).tree() for p in rules.values()]
+        self.names = [*rules]
+        self.combined = Automaton([shortest(capped(t, CAP)) for t in trees], True)
+        self.own = [Automaton([t], False) for t in trees]
+        self.leads = [a.table[a.start, a.classes_of] != a.dead for a in self.own]
+
+    def scan(self, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(row, rule, number, start, end) of all matches, positions within the row."""
+        at, states = self.combined.run(raw, off)
+        if not len(at):
+            return []
+        pairs = set()
+        rows = np.searchsorted(off, at, "right") - 1
+        key = np.unique(rows * len(self.combined.ends) + states)
+        for row, state in zip((key // len(self.combined.ends)).tolist(), (key % len(self.combined.ends)).tolist()):
+            mask = int(self.combined.ends[state])
+            pairs |= {(row, r) for r in range(len(self.names)) if mask >> r & 1}
+        out = []
+        for row, r in sorted(pairs):
+            data = raw[off[row] : off[row + 1]]
+            starts = np.flatnonzero(self.leads[r][data])
+            ends = self.own[r].longest(data, starts)
+            cursor = number = 0
+            for s, e in zip(starts[ends > 0].tolist(), ends[ends > 0].tolist()):
+                if s >= cursor:
+                    number += 1
+                    out.append((row, r, number, s, e))
+                    cursor = e
+        return out
+
+
+@cache
+def scanner(rules: tuple[tuple[str, str], ...]) -> Scanner:
+    return Scanner(dict(rules))
+
+
+def _scan(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = shared.value
+        for rows, texts in textkit.blocks(batches):
+            raw, off = textkit.buffer(texts)
+            found = s.scan(raw, off)
+            if found:
+                row, rule, number, start, end = (np.array(x) for x in zip(*found))
+                digest = [hashlib.sha256(raw[off[i] + a : off[i] + b].tobytes()).hexdigest() for i, a, b in zip(row, start, end)]
+                columns = [rows.column(0).take(pa.array(row)), pa.array([s.names[r] for r in rule]), pa.array(number, pa.int64()), pa.array(start, pa.int64()), pa.array(end - start, pa.int64()), pa.array(digest)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rule", "number", "first_byte", "n_bytes", "sha256"])
+
+    return run
+
+
+def scan_secrets(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
+    """The matches of all rules in docs; compiled on the driver, run over every byte of every text."""
+    shared = docs.sparkSession.sparkContext.broadcast(scanner(tuple((rules or RULES).items())))
+    schema = "doc_id long, rule string, number long, first_byte long, n_bytes long, sha256 string"
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(_scan(shared), schema)
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(common.load(spark, sf_dir, "documents"))
+
+
+def _rule_sql(name: str, pattern: str) -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{name}' AS rule, CAST(i AS BIGINT) AS number,
+      CAST(coalesce(list_sum(list_transform(list_slice(s, 1, i), lambda x: strlen(x))), 0) + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: strlen(x))), 0) AS BIGINT) AS first_byte,
+      CAST(strlen(m[i]) AS BIGINT) AS n_bytes, sha256(m[i]) AS sha256
+    FROM (SELECT doc_id, m, s, unnest(generate_series(1, len(m))) AS i FROM
+      (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS s FROM documents) WHERE len(m) > 0)"""
+
+
+OP2_SQL = "\nUNION ALL\n".join(_rule_sql(*x) for x in RULES.items())
