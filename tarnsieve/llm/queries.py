@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnsieve.llm.decontaminate import op10_benchmark_decontamination
 from tarnsieve.llm.host_rules import OP9_SQL, op9_host_quality_rules
+from tarnsieve.llm.host_suffixes import op3_html_extraction
+from tarnsieve.llm.language_crf import op5_language_id
 from tarnsieve.llm.minhash import op7_minhash_near_dedup
 from tarnsieve.llm.mixing import op4_mixing_to_target_weights
 from tarnsieve.llm.quality_cnn import op1_quality_classifier
@@ -25,7 +27,9 @@ QUERIES = {
     for f in (
         op1_quality_classifier,
         op2_secret_scan,
+        op3_html_extraction,
         op4_mixing_to_target_weights,
+        op5_language_id,
         op6_warc_index_first,
         op7_minhash_near_dedup,
         op8_sharding,
