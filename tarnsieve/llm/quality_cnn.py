@@ -72,8 +72,12 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [self.embed, self.filters, self.w1, self.b1, self.w2, self.b2]
 
-    def convolve(self, data: np.ndarray, halves: int, places: bool = False):
-        """The filters' maxima in each half chunk (halves, FILTERS), and where they are."""
+    def convolve(self, data: np.ndarray, at: np.ndarray, places: bool = False):
+        """The filters' maxima in each half chunk (halves, FILTERS), and where they are.
+
+        Windows that would reach from one text's padding into the next text don't count.
+        """
+        halves, final = int(at[-1]), at[1:] - 1
         tables = np.ascontiguousarray(np.einsum("be,wef->wbf", self.embed, self.filters))
         best = np.empty((halves, FILTERS), np.float32)
         where = np.empty((halves, FILTERS), np.int64) if places else None
@@ -88,6 +92,7 @@ class Network:
                 np.take(tables[j], data[lo * _HALF + j : lo * _HALF + j + n], axis=0, out=q, mode="clip")
                 t += q
             cube = t.reshape(hi - lo, _HALF, FILTERS)
+            cube[final[np.searchsorted(final, lo) : np.searchsorted(final, hi)] - lo, _HALF - WIDTH + 1 :] = -np.inf
             if places:
                 a = cube.argmax(1)
                 best[lo:hi] = np.take_along_axis(cube, a[:, None], 1)[:, 0]
@@ -115,12 +120,12 @@ class Network:
         data, at = padded(texts)
         if len(at) < 2:
             return np.zeros(0)
-        best, _ = self.convolve(data, int(at[-1]))
+        best, _ = self.convolve(data, at)
         return 1 / (1 + np.exp(-self.head(self.pooled(best, at)[-1])[1].astype(np.float64)))
 
     def gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
         data, at = padded(texts)
-        best, where = self.convolve(data, int(at[-1]), True)
+        best, where = self.convolve(data, at, True)
         c, rows, second, lead, n, doc = self.pooled(best, at)
         hidden, z = self.head(doc)
         dz = (1 / (1 + np.exp(-z)) - y) * weight / len(y)
