@@ -90,6 +90,7 @@ def _draws(keys: np.ndarray, seed: int) -> np.ndarray:
 
 def _level(seed: int, last: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("u")  # the landing takes what is left in this order
         u = group["u"].to_numpy()
         draws = _draws(u, seed)
         p = flight(group["p"].to_numpy(float), group["tokens"].to_numpy(float), np.lexsort((u, _draws(u, seed + 1))), draws)
