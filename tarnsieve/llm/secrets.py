@@ -38,10 +38,10 @@ RULES = {
     "github-token": r"gh[pousr]_[A-Za-z0-9]{36}",
     "gitlab-token": r"glpat-[A-Za-z0-9_\-]{20}",
     "google-api-key": r"AIza[0-9A-Za-z_\-]{35}",
-    "json-web-token": r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
+    "json-web-token": r"eyJ[0-9A-Z_a-z\-]{8,}(?:\.[0-9A-Z_a-z\-]{8,}){2}",
     "npm-token": r"npm_[A-Za-z0-9]{36}",
     "private-key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "slack-token": r"xox[abpr]-[0-9]{10,13}-[0-9]{10,13}-[A-Za-z0-9]{20,}",
+    "slack-token": r"xox[abpr](?:-[0-9]{10,13}){2}-[0-9A-Za-z]{20,}",
     "stripe-key": r"(?:sk|pk|rk)_live_[0-9A-Za-z]{24,}",
 }
 CAP = 1
