@@ -24,11 +24,12 @@ from __future__ import annotations
 
 import html as html_
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ from tarnsieve.llm import common, textkit
 RUN = 8
 #: Bytes of HTML of one host in a slice, about; and suffixes in a bucket, about.
 SLICE_BYTES, BUCKET_SUFFIXES = 16 << 20, 1 << 20
+#: Bytes of HTML that are packed together at most, but for a single page.
+PIECE = 4 << 20
 
 _SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"""<[a-zA-Z/!?](?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+>|<[a-zA-Z/!?][^<>]*+>""")
@@ -69,7 +72,7 @@ def prefix_keys(tokens: np.ndarray, first: np.ndarray, run: int) -> tuple[np.nda
     key = np.zeros(len(at), np.uint64)
     for j in range(run):
         key += tokens[at + j] * np.uint64(pow(0xB5297A4D3F84D5B5, j + 1, 1 << 64) | 1)
-    return at, textkit.mix(key).view(np.int64)
+    return at, textkit.mix(key)
 
 
 def suffix_runs(tokens: np.ndarray, first: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,31 +142,63 @@ def _prepared(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), _host().alias("host"), F.xxhash64("html").alias("u"), F.col("html").cast("string").alias("html"))
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Distinct keys in order, as the byte planes of their differences: what many keys in order share takes no room."""
+    steps = np.diff(keys.view(np.uint64), prepend=np.uint64(0))
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked_keys(z: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(z), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _by_slice(batch: pa.RecordBatch) -> Iterator[tuple[str, int, list[int]]]:
+    """host, slice, rows of a batch whose first columns these are, in pieces of about PIECE bytes of the column html."""
+    pages = batch.column(batch.schema.get_field_index("html"))
+    size = np.asarray(pc.fill_null(pc.binary_length(pages), 0), np.int64)
+    rows: dict[tuple[str, int], list[int]] = {}
+    for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+        rows.setdefault(key, []).append(i)
+    for (host, slice_), mine in rows.items():
+        piece, n = [], 0
+        for i in mine:
+            if piece and n + size[i] > PIECE:
+                yield host, slice_, piece
+                piece, n = [], 0
+            piece.append(i)
+            n += size[i]
+        yield host, slice_, piece
+
+
+_KEYS = pa.schema([("host", pa.string()), ("bucket", pa.int64()), ("slice", pa.int64()), ("keys", pa.binary())])
+
+
 def _bucketed(run: int):
+    """host, slice, buckets, html -> the prefixes that a slice's pages have, by bucket."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            host, u, page, slice_, buckets = (batch.column(j).to_pylist() for j in range(5))
-            rows = []
-            for i in range(len(host)):
-                tokens, words = _tokens([visible(page[i])])
+            buckets = batch.column(2).to_pylist()
+            for host, slice_, rows in _by_slice(batch):
+                tokens, words = _tokens([visible(batch.column(3)[i].as_py()) for i in rows])
                 keys = np.unique(prefix_keys(tokens, words.first, run)[1])
-                of = (keys.view(np.uint64) % np.uint64(buckets[i])).astype(np.int64)
+                of = keys % np.uint64(buckets[rows[0]])
                 order = np.argsort(of, kind="stable")
-                cuts = np.flatnonzero(np.diff(of[order])) + 1
-                for part in np.split(order, cuts) if len(order) else []:
-                    rows.append((host[i], int(of[part[0]]), u[i], slice_[i], keys[part].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["host", "bucket", "u", "slice", "keys"])
+                parts = np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []
+                out = [{"host": host, "bucket": int(of[p[0]]), "slice": slice_, "keys": packed_keys(keys[p])} for p in parts]
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=_KEYS)
 
     return go
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], of: int) -> Iterator[list[tuple]]:
-    """Runs of rows that are equal in their first of columns."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Runs of rows that are equal in their first two columns."""
     group: list[tuple] = []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if group and group[-1][:of] != row[:of]:
+            if group and group[-1][:2] != row[:2]:
                 yield group
                 group = []
             group.append(row)
@@ -172,41 +207,52 @@ def _grouped(batches: Iterator[pa.RecordBatch], of: int) -> Iterator[list[tuple]
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets of suffixes -> for each slice the prefixes that pages of several slices have."""
-    for group in _grouped(batches, 2):
-        keys = [np.frombuffer(r[4], np.int64) for r in group]
+    """Buckets of suffixes -> for each slice the prefixes that other slices have too. Equal pages are in one slice."""
+    for group in _grouped(batches):
+        keys = [unpacked_keys(r[3]) for r in group]
         every = np.concatenate(keys)
-        slices = np.repeat([r[3] for r in group], [len(k) for k in keys])
+        slices = np.repeat([r[2] for r in group], [len(k) for k in keys])
         order = np.lexsort((slices, every))
         every, slices = every[order], slices[order]
-        lead = np.flatnonzero(np.concatenate([[True], np.diff(every) != 0]))
+        lead = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
         several = np.repeat(slices[lead] != np.maximum.reduceat(slices, lead), np.diff(np.append(lead, len(every))))
-        rows = []
-        for s in np.unique(slices[several]):
-            rows.append((group[0][0], int(s), np.unique(every[several & (slices == s)]).tobytes()))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], names=["host", "slice", "keys"])
+        every, slices = every[several], slices[several]
+        for s in np.unique(slices):
+            yield pa.RecordBatch.from_pylist([{"host": group[0][0], "slice": int(s), "keys": packed_keys(np.unique(every[slices == s]))}], schema=pa.schema([_KEYS.field(0), _KEYS.field(2), _KEYS.field(3)]))
+
+
+_PACKED = pa.schema([("host", pa.string()), ("slice", pa.int64()), ("u", pa.list_(pa.int64())), ("page_id", pa.list_(pa.int64())), ("size", pa.list_(pa.int64())), ("z", pa.binary())])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, slice, u, page_id, html -> the texts of a slice's pages, packed together."""
     for batch in batches:
-        z = [zlib.compress(visible(x).encode("utf-8", "replace"), 1) for x in batch.column(4).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(4)), pa.array(z, pa.binary())], names=["host", "slice", "u", "page_id", "z"])
+        u, ids = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        out = []
+        for host, slice_, rows in _by_slice(batch):
+            texts = [visible(batch.column(4)[i].as_py()).encode("utf-8", "replace") for i in rows]
+            out.append({"host": host, "slice": slice_, "u": [u[i] for i in rows], "page_id": [ids[i] for i in rows], "size": [len(t) for t in texts], "z": zstandard.compress(b"".join(texts), 3)})
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=_PACKED)
 
 
 def _extracted(run: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _grouped(batches, 2):
-            known = [np.frombuffer(r[5], np.int64) for r in group if r[2] == 0]
-            rows = [r for r in group if r[2] == 1]
-            if not rows:
+        for group in _grouped(batches):
+            known = [unpacked_keys(r[6]) for r in group if r[2] == 0]
+            mine = [r for r in group if r[2] == 1]
+            if not mine:
                 continue
-            tokens, words = _tokens([zlib.decompress(r[5]).decode("utf-8") for r in rows])
-            out = covered(tokens, words.first, np.array([r[3] for r in rows], np.int64), run, np.unique(np.concatenate(known)) if known else None)
-            for lo in range(0, len(rows), 1024):
-                part = range(lo, min(len(rows), lo + 1024))
+            host, u, ids = group[0][0], [x for r in mine for x in r[3]], [x for r in mine for x in r[4]]
+            sizes = np.array([x for r in mine for x in r[5]], np.int64)
+            raw = np.frombuffer(b"".join(zstandard.decompress(r[6]) for r in mine), np.uint8)
+            group.clear()
+            words = textkit.Words(raw, np.concatenate([[0], np.cumsum(sizes)]), ~_SPACE)
+            out = covered(words.hashes(), words.first, np.array(u, np.int64), run, np.unique(np.concatenate(known)) if known else None)
+            for lo in range(0, len(ids), 512):
+                part = range(lo, min(len(ids), lo + 512))
                 texts = [kept_text(words, out, i) for i in part]
-                columns = [pa.array([rows[i][4] for i in part], pa.int64()), pa.array([rows[i][0] for i in part]), pa.array([t[0] for t in texts], pa.string()), pa.array([t[1] for t in texts], pa.int64()), pa.array([t[2] for t in texts], pa.int64())]
+                columns = [pa.array([ids[i] for i in part], pa.int64()), pa.array([host] * len(part)), pa.array([t[0] for t in texts], pa.string()), pa.array([t[1] for t in texts], pa.int64()), pa.array([t[2] for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["page_id", "host", "text", "n_tokens", "n_removed"])
 
     return go
@@ -221,12 +267,13 @@ def extract(pages: DataFrame, run: int = RUN, slice_bytes: int = SLICE_BYTES, bu
     big = F.broadcast(big) if big.count() * 128 <= limit else big
     placed = rows.join(big, F.col("host") == F.col("big"), "left")
     slice_ = F.coalesce(F.pmod(F.col("u"), F.col("slices")), F.lit(0)).cast("long").alias("slice")
-    keys = placed.where("slices is not null").select("host", "u", "html", slice_, "buckets").mapInArrow(_bucketed(run), "host string, bucket long, u long, slice long, keys binary")
+    keys = placed.where("slices is not null").select("host", slice_, "buckets", "html").mapInArrow(_bucketed(run), "host string, bucket long, slice long, keys binary")
     known = keys.repartition("host", "bucket").sortWithinPartitions("host", "bucket").mapInArrow(_shared, "host string, slice long, keys binary")
-    known = known.select("host", "slice", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("u"), F.lit(None).cast("long").alias("page_id"), F.col("keys").alias("z"))
-    packed = placed.select("host", slice_, "u", "page_id", "html").mapInArrow(_packed, "host string, slice long, u long, page_id long, z binary")
-    packed = packed.select("host", "slice", F.lit(1).alias("kind"), "u", "page_id", "z")
-    together = packed.unionByName(known).repartition("host", "slice").sortWithinPartitions("host", "slice", "kind", "u")
+    none = F.array().cast("array<long>")
+    known = known.select("host", "slice", F.lit(0).alias("kind"), none.alias("u"), none.alias("page_id"), none.alias("size"), F.col("keys").alias("z"))
+    packed = placed.select("host", slice_, "u", "page_id", "html").mapInArrow(_packed, "host string, slice long, u array<long>, page_id array<long>, size array<long>, z binary")
+    packed = packed.select("host", "slice", F.lit(1).alias("kind"), "u", "page_id", "size", "z")
+    together = packed.unionByName(known).repartition("host", "slice").sortWithinPartitions("host", "slice", "kind")
     return together.mapInArrow(_extracted(run), "page_id long, host string, text string, n_tokens long, n_removed long")
 
 

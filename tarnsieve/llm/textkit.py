@@ -100,7 +100,19 @@ class Words:
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of the spans, by differences of one running sum."""
+    """64-bit polynomial hashes of the spans (starts in order), by differences of running sums over about BLOCK bytes each."""
+    if len(raw) <= 2 * BLOCK:
+        return _span_hashes(raw, starts, ends)
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        lo = starts[i]
+        j = max(i + 1, int(np.searchsorted(starts, lo + BLOCK)))
+        out[i:j] = _span_hashes(raw[lo : ends[i:j].max()], starts[i:j] - lo, ends[i:j] - lo)
+        i = j
+    return out
+
+
+def _span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_VALUE[raw] * up[: len(raw)], out=total[1:])
