@@ -1,0 +1,79 @@
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tarnsieve.llm import secrets as s
+from tarnsieve.llm import textkit
+from tests.llm.cases import LONG, empty, weird
+
+RULES = {"a": r"ab+c", "b": r"(?:ab|ba){2,3}", "c": r"[^a-c]x?d\d", "d": r"c{2}[ab]*", "e": r"b.c"}
+
+
+def scan(rules, texts):
+    raw, off = textkit.buffer(pa.array(texts, pa.large_string()))
+    names = [*rules]
+    return sorted((row, names[r], n, a, b) for row, r, n, a, b in s.scanner(tuple(rules.items())).scan(raw, off))
+
+
+def brute(rules, texts):
+    """From the left, the longest match at each place, not overlapping."""
+    out = []
+    for row, t in enumerate(t.encode() for t in texts):
+        for name, p in rules.items():
+            full, at, n = re.compile(p.encode(), re.ASCII), 0, 0
+            while at < len(t):
+                end = max((e for e in range(at + 1, len(t) + 1) if full.fullmatch(t, at, e)), default=None)
+                if end:
+                    n += 1
+                    out.append((row, name, n, at, end))
+                at = end or at + 1
+    return sorted(out)
+
+
+def test_against_brute_force():
+    r = random.Random(5)
+    for _ in range(60):
+        texts = ["".join(r.choice("aabbccxd1 \n") for _ in range(r.randint(0, 40))) for _ in range(r.randint(1, 8))]
+        assert scan(RULES, texts) == brute(RULES, texts)
+
+
+def test_lanes_don_t_matter(monkeypatch):
+    r = random.Random(6)
+    texts = ["".join(r.choice("abc") for _ in range(5000)) for _ in range(3)]
+    one = scan(RULES, texts)
+    monkeypatch.setattr(s, "LANES", 1)
+    assert scan(RULES, texts) == one
+
+
+@pytest.mark.parametrize("name", [*s.RULES])
+def test_rules_find_what_they_say(name):
+    parts = {
+        "assigned-secret": "pass" + "word = 'abcdefghijklmnopqrstuv'", "aws-access-key": "AK" + "IA" + "Q" * 16, "basic-auth-url": "http" + "://me:hunter2@x", "github-token": "gh" + "p_" + "a1" * 18, "gitlab-token": "gl" + "pat-" + "a" * 20,
+        "google-api-key": "AI" + "za" + "b" * 35, "json-web-token": "ey" + "J" + ".".join(["a" * 9] * 3), "npm-token": "np" + "m_" + "a" * 36, "private-key": "-----BEGIN EC " + "PRIVATE KEY-----",
+        "slack-token": "xo" + "xb-1234567890-1234567890-" + "a" * 20, "stripe-key": "sk" + "_live_" + "a" * 24,
+    }
+    assert name in {f[1] for f in scan(s.RULES, ["x " * 50 + parts[name] + " y"])}
+
+
+def test_clean_text_is_left_alone():
+    assert scan(s.RULES, [LONG, "the password is long", ""]) == []
+
+
+def test_minimal_automaton():
+    a = s.Automaton([s.Parser("ab|cb").tree()], False)
+    assert len(a.ends) == 4 and a.dead >= 0  # start, after a or c, end, dead
+    with pytest.raises(ValueError):
+        s.Parser("(ab").tree()
+
+
+def test_weird_rows(spark):
+    secret = "AK" + "IA" + "Q" * 16
+    d = weird(spark).selectExpr("doc_id", f"case when doc_id = 2 then '{secret}' when doc_id = 6 then concat(text, ' {secret}') when doc_id is null then '{secret} {secret}' when doc_id = 3 then concat(text, ' {secret}') else text end as text", "k", "u")
+    got = s.scan_secrets(d).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.number) for r in got) == [(False, 2, 1), (False, 3, 1), (False, 6, 1), (False, 6, 1), (False, 6, 1), (True, 0, 1), (True, 0, 1), (True, 0, 2), (True, 0, 2)]
+    assert {r.first_byte for r in got if r.doc_id == 3} == {len(LONG) + 1} and len({r.sha256 for r in got}) == 1
+    assert s.scan_secrets(empty(spark)).count() == 0
+    assert np.all([r.n_bytes == 20 for r in got])
