@@ -34,11 +34,23 @@ def _scalar(text: str) -> Any:
     return float(text) if re.fullmatch(r"-?\d+(?:\.\d+)?", text) else text
 
 
+def _uncommented(line: str) -> str:
+    quote = ""
+    for i, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c == "#" and (not i or line[i - 1].isspace()):
+            return line[:i]
+    return line
+
+
 def parse_yaml(text: str) -> dict:
     """Maps, lists of scalars by dash or in brackets, quoted and plain scalars, comments. Anything else is an error."""
     rows = []
     for number, line in enumerate(text.split("\n"), 1):
-        bare = re.sub(r"(?:^|\s)#(?=(?:[^\"']|\"[^\"]*\"|'[^']*')*$).*", "", line).rstrip()
+        bare = _uncommented(line).rstrip()
         if bare.strip() and bare.strip() != "---":
             if "\t" in bare[: len(bare) - len(bare.lstrip())]:
                 raise ConfigError(f"line {number}: tabs indent nothing here")
