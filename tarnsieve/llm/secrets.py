@@ -35,12 +35,12 @@ RULES = {
     "assigned-secret": r"""(?:token|secret|password|passwd|api_key|apikey|access_key) ?[:=] ?["']?[A-Za-z0-9_./+\-]{20,}""",
     "aws-access-key": r"AKIA[0-9A-Z]{16}",
     "basic-auth-url": r"://[A-Za-z0-9_.\-]+:[A-Za-z0-9_.!$%\-]{3,}@",
-    "github-token": r"gh[pousr]_[A-Za-z0-9]{36}",
+    "github-token": r"gh[oprsu]_[0-9A-Za-z]{36}",
     "gitlab-token": r"glpat-[A-Za-z0-9_\-]{20}",
     "google-api-key": r"AIza[0-9A-Za-z_\-]{35}",
     "json-web-token": r"eyJ[0-9A-Z_a-z\-]{8,}(?:\.[0-9A-Z_a-z\-]{8,}){2}",
     "npm-token": r"npm_[A-Za-z0-9]{36}",
-    "private-key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "private-key": r"-{5}BEGIN [A-Z ]*PRIVATE KEY-{5}",
     "slack-token": r"xox[abpr](?:-[0-9]{10,13}){2}-[0-9A-Za-z]{20,}",
     "stripe-key": r"(?:sk|pk|rk)_live_[0-9A-Za-z]{24,}",
 }
