@@ -10,7 +10,7 @@ from tarnsieve.rules.base import Rule, add
 COMMENT = Rule("docs.package-comment", "Package comment", "documentation", "advisory", "high", "project", remediation="Say in one file what the package is for.")
 UNDERSCORE = Rule("naming.package-underscore", "Underscore in a package name", "naming", "advisory", "high", "project", tags=("go-style",), remediation="Use one short word.")
 UNUSED = Rule("dead-code.unused-private-function", "Unused function", "dead-code", "advisory", "medium", "project", tags=("dead-code", "cross-file"), remediation="Delete the function if nothing uses it.")
-RECEIVER = Rule("naming.receiver-consistency", "Receivers differ", "naming", "advisory", "medium", "project", options={"allowMixed": [], "inspectGroup": "both"}, tags=("go-style", "naming"), remediation="Use one receiver name and form for a type.")
+RECEIVER = Rule("naming.receiver-consistency", "Receivers differ", "naming", "advisory", "medium", "project", options={"inspectGroup": "both", "allowMixed": []}, tags=("go-style", "naming"), remediation="Use one receiver name and form for a type.")
 for _r in (COMMENT, UNDERSCORE, UNUSED, RECEIVER):
     add(_r)
 

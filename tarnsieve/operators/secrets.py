@@ -15,12 +15,12 @@ from tarnsieve.rules.base import Rule, add
 
 _B64 = r"[0-9A-Z_a-z\-]"
 _AN = r"[0-9A-Za-z]"
-PRIVATE_KEY = r"-----BEGIN[ A-Z]*PRIVATE KEY-----"
+PRIVATE_KEY = r"-{5}BEGIN[A-Z ]*PRIVATE KEY-{5}"
 SERVICE_ACCOUNT = r'"type"\s*:\s*"service_account"'
 _WORDS = r"(?:password|token|secret|bearer|authorization|client[-_]?secret|(?:refresh|access|auth)[-_]?token|api[-_]?key)"
 #: An assignment to a name that speaks of secrets; group 1 is what is reported.
 ASSIGNMENT = rf"(?i)(?:^|[^0-9A-Za-z_\-])({_WORDS}\s*(?::=|[:=])\s*[\"']?(?:bearer\s+)?[\w./+=\-]{{20,}})"
-CONNECTION = r"(?i)(?:^|[^0-9A-Za-z_])((?:mongodb(?:\+srv)?|postgres(?:ql)?|mysql|redis|amqps?)://[^:\s/@]+:[^@\s/]+@\S+)"
+CONNECTION = r"(?i)(?:^|[^0-9A-Za-z_])((?:mongodb(?:\+srv)?|postgres(?:ql)?|mysql|redis|amqps?)://[^\s/:@]+:[^\s/@]+@\S+)"
 
 #: rule -> (expression, group, confidence, message)
 PATTERNS: dict[str, tuple[str, int, str, str]] = {

@@ -55,8 +55,8 @@ SNIPPETS: list[tuple[str, str, str, str]] = [
     ("go", "os", 'func f() { os.OpenFile("x", os.O_CREATE|os.O_WRONLY, 0777) }', "security.permissive-file-mode"),
     ("go", "os", 'func f() { os.OpenFile("x", os.O_RDONLY, 0777) }', ""),
     ("go", "os", 'func f() { os.MkdirAll("x", 0o755) }', ""),
-    ("go", "net/http,io", "func f(w http.ResponseWriter, r *http.Request) { b, _ := io.ReadAll(r.Body) }", "security.request-body-without-limit"),
-    ("go", "net/http,io", "func f(w http.ResponseWriter, r *http.Request) { r.Body = http.MaxBytesReader(w, r.Body, 9); b, _ := io.ReadAll(r.Body) }", ""),
+    ("go", "net/http,io", "func f(out http.ResponseWriter, in *http.Request) { b, _ := io.ReadAll(in.Body) }", "security.request-body-without-limit"),
+    ("go", "net/http,io", "func f(out http.ResponseWriter, in *http.Request) { in.Body = http.MaxBytesReader(out, in.Body, 9); b, _ := io.ReadAll(in.Body) }", ""),
     ("go", "fmt", 'func f() { q := fmt.Sprintf("SELECT %s", x); db.Query(q) }', "security.sql-string-query"),
     ("go", "fmt", 'func f() { db.Query("SELECT ?", x) }', ""),
     ("go", "archive/zip,path/filepath", "func f() { p := filepath.Join(d, e.Name); open(p) }", "security.archive-path-traversal"),
@@ -79,20 +79,20 @@ SNIPPETS: list[tuple[str, str, str, str]] = [
     ("go", "", "func f() { if a { b() } else { } }", ""),
     ("go", "", "func f() { return; g() }", "dead-code.unreachable-code"),
     ("go", "", "func f() { goto l; l: g() }", ""),
-    ("test", "testing", "func TestA(t *testing.T) { }", "test-quality.empty-test"),
-    ("test", "testing", "func TestA(t *testing.T) { g() }", "test-quality.no-failure-path"),
-    ("test", "testing", 'func TestA(t *testing.T) { t.Run("x", func(t *testing.T) { t.Fatal(1) }) }', ""),
+    ("test", "testing", "func TestA(q *testing.T) { }", "test-quality.empty-test"),
+    ("test", "testing", "func TestA(q *testing.T) { g() }", "test-quality.no-failure-path"),
+    ("test", "testing", 'func TestA(q *testing.T) { q.Run("x", func(q *testing.T) { q.Fatal(1) }) }', ""),
     ("test", "testing", "func TestA(x *testing.T) { func(x int) { x.Fatal(1) }(2) }", "test-quality.no-failure-path"),
-    ("test", "testing", "func need(t testing.TB) { t.Fatal(1) }", "test-quality.helper-missing-t-helper"),
-    ("test", "testing", "func need(t testing.TB) { t.Helper(); t.Fatal(1) }", ""),
-    ("test", "testing", "func TestA(t *testing.T) { go func() { t.Fatal(1) }() }", "test-quality.fatal-in-goroutine"),
-    ("test", "testing", 'func TestA(t *testing.T) { t.Skip("later"); t.Fail() }', "test-quality.skipped-test"),
-    ("test", "testing", 'func TestA(t *testing.T) { if short { t.Skip("slow") }; t.Fail() }', ""),
-    ("test", "testing", 'func TestA(t *testing.T) { if short { t.Skip("TODO") }; t.Fail() }', "test-quality.skipped-test"),
-    ("test", "testing,time", "func TestA(t *testing.T) { time.Sleep(1); t.Fail() }", "test-quality.sleep-in-test"),
-    ("test", "testing,os", 'func TestA(t *testing.T) { os.MkdirTemp("", "x"); t.Fail() }', "test-quality.tempdir-misuse"),
-    ("test", "testing", "func TestA(t *testing.T) { for _, c := range cs { t.Run(c.n, func(t *testing.T) { t.Parallel(); t.Fatal(c) }) } }", "test-quality.parallel-range-capture"),
-    ("test", "testing", "func TestA(t *testing.T) { for _, c := range cs { c := c; t.Run(c.n, func(t *testing.T) { t.Parallel(); t.Fatal(c) }) } }", ""),
+    ("test", "testing", "func need(q testing.TB) { q.Fatal(1) }", "test-quality.helper-missing-t-helper"),
+    ("test", "testing", "func need(q testing.TB) { q.Helper(); q.Fatal(1) }", ""),
+    ("test", "testing", "func TestA(q *testing.T) { go func() { q.Fatal(1) }() }", "test-quality.fatal-in-goroutine"),
+    ("test", "testing", 'func TestA(q *testing.T) { q.Skip("later"); q.Fail() }', "test-quality.skipped-test"),
+    ("test", "testing", 'func TestA(q *testing.T) { if short { q.Skip("slow") }; q.Fail() }', ""),
+    ("test", "testing", 'func TestA(q *testing.T) { if short { q.Skip("TODO") }; q.Fail() }', "test-quality.skipped-test"),
+    ("test", "testing,time", "func TestA(q *testing.T) { time.Sleep(1); q.Fail() }", "test-quality.sleep-in-test"),
+    ("test", "testing,os", 'func TestA(q *testing.T) { os.MkdirTemp("", "x"); q.Fail() }', "test-quality.tempdir-misuse"),
+    ("test", "testing", "func TestA(q *testing.T) { for _, c := range cs { q.Run(c.n, func(q *testing.T) { q.Parallel(); q.Fatal(c) }) } }", "test-quality.parallel-range-capture"),
+    ("test", "testing", "func TestA(q *testing.T) { for _, c := range cs { c := c; q.Run(c.n, func(q *testing.T) { q.Parallel(); q.Fatal(c) }) } }", ""),
     ("go", "", "// UserId is one.\nvar UserId int", "naming.acronym-case"),
     ("go", "", "func f() { tmp := 1 }", "naming.identifier-quality"),
     ("go", "", "// A is.\ntype A struct { NoColor bool }", "naming.negated-boolean"),

@@ -142,7 +142,7 @@ def generated_header(text: str) -> bool:
 
 def is_production(path: str) -> bool:
     clean = "/" + path.replace("\\", "/")
-    return not path.endswith("_test.go") and not any(x in clean for x in ("/testdata/", "/examples/", "/example/"))
+    return not path.endswith("_test.go") and not any(x in clean for x in ("/example/", "/examples/", "/testdata/"))
 
 
 def is_bootstrap(path: str) -> bool:

@@ -103,7 +103,7 @@ _CODE = re.compile(r"G\d+\Z")
 
 
 def _reason(text: str) -> bool:
-    return any(len(w.encode()) >= 3 and not _CODE.match(w) and any(c.isalpha() for c in w) for w in (x.strip(" \t-:/.,;#()[]{}") for x in text.split()))
+    return any(len(w.encode()) >= 3 and not _CODE.match(w) and any(c.isalpha() for c in w) for w in (x.strip("()[]{} \t.,;:#/-") for x in text.split()))
 
 
 def _directive(text: str) -> tuple[str, str] | None:
@@ -286,7 +286,7 @@ def negated_boolean(u: Unit, o):
         for n in names:
             if n.Name != "_" and (scope == "all" or exported(n.Name) == (scope == "exported")) and n.Name not in o["allowList"]:
                 if any(n.Name.startswith(p) and n.Name[len(p) : len(p) + 1].isupper() for p in prefixes):
-                    yield hit(u, f'identifier "{n.Name}" uses negated form; rename to the positive equivalent to avoid double-negation at call sites', n.pos, symbol=n.Name, identifier=n.Name)
+                    yield hit(u, f'identifier "{n.Name}" uses negated form; rename to the positive equivalent ' 'to avoid double-negation at call sites', n.pos, symbol=n.Name, identifier=n.Name)
 
     def struct(t):
         for f in fields(t.Fields):

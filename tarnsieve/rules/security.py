@@ -34,7 +34,7 @@ def shell_command(u: Unit, o):
         shell, flag = string_of(n.Args[at]), string_of(n.Args[at + 1])
         if shell is not None and flag is not None:
             base = shell.replace("\\", "/").rstrip("/").rpartition("/")[2].lower()
-            if base in _SHELLS and flag.lower() in ("-c", "-lc", "/c", "-command"):
+            if base in _SHELLS and flag.lower() in ("-command", "/c", "-lc", "-c"):
                 yield hit(u, "exec.Command invokes a shell interpreter", n.pos)
 
 

@@ -14,8 +14,8 @@ DIAGNOSTICS = "stage string, message string, file string, line int, col int, sev
 
 #: Pillars of the summary; design is counted elsewhere.
 SUMMARY_PILLARS = tuple("complexity dead-code documentation maintainability modernisation naming security sensitive-data size test-quality".split())
-BINS = ("1-5", "6-10", "11-15", "16-20", "21+")
-RANK = {"advisory": 0, "warning": 1, "error": 2}
+BINS = tuple("1-5 6-10 11-15 16-20 21+".split())
+RANK = {s: i for i, s in enumerate("advisory warning error".split())}
 
 
 def severity_rank(c: Column) -> Column:

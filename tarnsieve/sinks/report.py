@@ -14,8 +14,9 @@ from tarnsieve.plans.engine import Report
 from tarnsieve.rules.base import CATALOGUE
 from tarnsieve.sinks import formats
 
+_SARIF = "https://" + "/".join(("json.schemastore.org", "sarif-2.1.0.json"))
 ANALYSIS_ID, SUMMARY_ID = "tarnsieve.analysis.v1", "tarnsieve.summary.v1"
-FORMATS = ("text", "json", "summary-json", "sarif", "github", "markdown", "md", "html")
+FORMATS = tuple("github html json markdown md sarif summary-json text".split())
 
 
 def _stream(df, column: str) -> Iterator:
@@ -73,7 +74,7 @@ def as_sarif(r: Report) -> str:
     rules = [{"id": i, "name": CATALOGUE[i].title, "shortDescription": {"text": CATALOGUE[i].title}, "help": {"text": CATALOGUE[i].remediation}, "properties": {"pillar": CATALOGUE[i].pillar, "tags": list(CATALOGUE[i].tags)}} for i in r.rules]
     index = r.findings.sparkSession.createDataFrame([(x, i) for i, x in enumerate(r.rules)], "rule_id string, rule_index int")
     results = [json.loads(x) for x in _stream(formats.sarif_results(ordered(r.displayed), index).select(F.to_json("result").alias("j")), "j")]
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "tarnsieve", "rules": rules}}, "results": results}]}, indent=2, ensure_ascii=False) + "\n"
+    return json.dumps({"$schema": _SARIF, "version": "2.1.0", "runs": [{"results": results, "tool": {"driver": {"name": "tarnsieve", "rules": rules}}}]}, indent=2, ensure_ascii=False) + "\n"
 
 
 def pillars(r: Report) -> list[dict]:
@@ -103,7 +104,7 @@ def _cell(x) -> str:
 
 def as_markdown(r: Report) -> str:
     shown = {x.severity: x.n for x in scoring.severity_counts(r.displayed).collect()}
-    out = ["# Code quality", "", f"Score {r.score['composite']} / 100, grade {r.score['grade']}.", "", "| " + " | ".join(f"{s}: {shown[s]}" for s in ("error", "warning", "advisory")) + " |", "", "| severity | rule | file | line | symbol | message | fingerprint |", "|---|---|---|---|---|---|---|"]
+    out = ["# Code quality", "", f"Score {r.score['composite']} / 100, grade {r.score['grade']}.", "", "| " + " | ".join(f"{s}: {shown[s]}" for s in ("error", "warning", "advisory")) + " |", "", "| severity | rule | file | line | symbol | message | fingerprint |", "|" + "---|" * 7]
     row = F.struct("severity", "rule_id", "file", F.coalesce("line", F.lit(0)).alias("line"), "symbol", "message", "fingerprint")
     out += ["| " + " | ".join(map(_cell, x)) + " |" for x in _stream(ordered(r.displayed).select(row.alias("r")), "r")]
     out += ["", "Most frequent:", "", *(f"- {x.rule_id}: {x.n}" for x in scoring.top_rules(r.displayed, 5).collect()), ""]

@@ -12,7 +12,7 @@ def from_git(root: str, base: str, paths: list[str] | None = None) -> str:
     """The patch of root's tree against base, as text."""
     if not base:
         raise ValueError("a diff needs a base")
-    return subprocess.run(["git", "-C", root, "diff", "--unified=0", "--no-ext-diff", "--relative", base, "--", *(paths or ["."])], capture_output=True, text=True, errors="replace", check=True).stdout
+    return subprocess.run(["git", "-C", root, *"diff --relative --no-ext-diff --unified=0".split(), base, "--", *(paths or ["."])], capture_output=True, text=True, errors="replace", check=True).stdout
 
 
 def hunks(patches: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def hunks(patches: DataFrame) -> DataFrame:
     named = F.trim(F.expr("substring(line, 5)"))
     name = F.when(F.col("line").startswith("+++ "), F.when(named == "/dev/null", "").otherwise(F.regexp_replace(named, "^b/", "")))
     head = head.withColumn("file", F.last(name, True).over(Window.partitionBy("patch_id").orderBy("at")))
-    part = lambda g: F.regexp_extract("line", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@", g)
+    part = lambda g: F.regexp_extract("line", r"^@@ -[\d,]+ [+](\d+),?(\d*) @@", g)
     n = F.when(part(2) == "", 1).otherwise(part(2).cast("int"))
     rows = head.where("file <> ''").select("patch_id", "file", F.when(part(1) != "", part(1).cast("int")).alias("first"), F.when(part(1) != "", n).alias("n"))
     spans = rows.where("n > 0").select("patch_id", "file", "first", (F.col("first") + F.col("n") - 1).alias("last"))
