@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnsieve.operators import composites, findings as fnd, scoring, secrets, suppression
 from tarnsieve.plans import views
+from tarnsieve.plans.engine import persist
 from tarnsieve.plans.gotext import GO_QUERIES, GO_SQL
 from tarnsieve.functions import text as tx
 from tarnsieve.rules.base import CATALOGUE
@@ -206,7 +207,7 @@ def composite_hotspots(spark, d):
 SELECT g.file, g.symbol FROM g JOIN changed USING (file) WHERE EXISTS (SELECT 1 FROM (SELECT unnest(g.underlying) AS fp) u JOIN alive ON alive.fingerprint = u.fp)""")
 def composite_without_orphans(spark, d):
     """Composites after the narrowing to changed lines, without those whose evidence is gone."""
-    f, c = _findings(spark, d), views.changed(spark, d)
+    f, c = persist(_findings(spark, d)), views.changed(spark, d)  # read four times
     x = composites.god_functions(f).withColumn("fingerprint", fnd.fingerprint())
     cols = ["rule_id", "file", "symbol", "line", "end_line", "fingerprint", "underlying"]
     both = f.select(*cols).unionByName(x.select(*cols))
@@ -315,6 +316,22 @@ def text_identifier_tokens(spark, d):
     return t.select("p_partkey", F.array_join(tx.identifier_tokens(F.col("n")), " ").alias("tokens"))
 
 
+_FLAG = "concat(CASE p_size % 5 WHEN 0 THEN 'No' WHEN 1 THEN 'not' WHEN 2 THEN 'Disable' WHEN 3 THEN 'Note' ELSE 'x' END, CASE p_partkey % 3 WHEN 0 THEN 'Color' WHEN 1 THEN 'ify' ELSE 'Op' END)"
+
+
+@query(f"SELECT p_partkey, {_FLAG} AS name FROM part WHERE regexp_matches({_FLAG}, '^(?:[Nn]ot?|[Dd]isable)[A-Z]') AND {_FLAG} NOT IN ('NoOp')")
+def text_negated_names(spark, d):
+    t = views.table(spark, d, "part").select("p_partkey", F.expr(_FLAG).alias("name"))
+    return t.where(tx.negated(F.col("name"), ["No", "Not", "Disable"], ["NoOp"]))
+
+
+@query("SELECT p_partkey FROM (SELECT p_partkey, concat('Rule', CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'Set' WHEN 2 THEN 'r' ELSE '2' END) AS name, CASE p_partkey % 2 WHEN 0 THEN 'rule' ELSE 'rules' END AS package FROM part) WHERE starts_with(lower(name), package) AND regexp_matches(substr(name, length(package) + 1), '^(?:[A-Z]|$)')")
+def text_stutters(spark, d):
+    t = views.table(spark, d, "part")
+    name = F.concat(F.lit("Rule"), F.when(F.col("p_size") % 4 == 0, "").when(F.col("p_size") % 4 == 1, "Set").when(F.col("p_size") % 4 == 2, "r").otherwise("2"))
+    return t.where(tx.stutters(name, F.when(F.col("p_partkey") % 2 == 0, "rule").otherwise("rules"))).select("p_partkey")
+
+
 @query("SELECT p_partkey, CASE WHEN strlen(p_name) <= 12 THEN '[redacted]' ELSE concat(substr(p_name, 1, 6), '...', substr(p_name, -4)) END AS redacted FROM part")
 def text_redacted(spark, d):
     return views.table(spark, d, "part").select("p_partkey", secrets.redact(F.col("p_name")).alias("redacted"))
