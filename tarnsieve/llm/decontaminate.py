@@ -9,6 +9,10 @@ one and the same value of the document: windows that contradict the mapping most
 contaminated by an item if the windows that count hold at least COVERAGE of the item's windows; "reworded" says that
 some slot has another value than in the item.
 
+Capitals make names, so a copy in upper or title case has other windows than the item. A second series of windows is
+therefore blind to case: no token is a name there, all else is the same. The series are hashed, joined and judged apart,
+and a document is contaminated if it is so in either; the counts told are the first's where both say so.
+
 The windows of a benchmark of up to FILTER_BYTES filter the documents' windows where they are made (a bitmap, then a
 sorted array: exact), so only hits reach the join; a larger benchmark is joined without the filter, by shuffle, with
 the same result.
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +58,11 @@ _SLOT = np.array([0, 0, 0x1B873593CC9E2D51, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all tokens of the texts: hash of the template token, kind (1 word, 2 number, 3 name, 4 unit), hash of the value; and each text's first."""
+    return readings(texts, [True])[0]
+
+
+def readings(texts: pa.Array, named: list[bool]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """tokens() once for each of named: with names, or blind to case, without them."""
 
     def spans(column):
         raw, off = textkit.buffer(column)
@@ -74,34 +84,44 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     if len(lo) != len(starts):  # lower case of some rare letter isn't a letter: take the bytes as they are
         low, lo, hi = raw, starts, ends
     value = textkit.span_hashes(low, lo, hi)
-    k = kind[starts]
-    if not len(k):
-        return value, k, value, first
-    lead = raw[starts]
-    cap = (lead >= 65) & (lead <= 90)
-    two = np.flatnonzero((lead == 0xC3) & (starts + 1 < len(raw)))
-    cap[two] |= (raw[starts[two] + 1] >= 0x80) & (raw[starts[two] + 1] <= 0x9E)
-    heads = np.zeros(len(k), bool)
+    plain = kind[starts]
+    if not len(plain):
+        return [(value, plain, value, first)] * len(named)
+    heads = np.zeros(len(plain), bool)
     heads[first[:-1][np.diff(first) > 0]] = True
-    c = np.flatnonzero(cap & ~heads & (k == 1))
-    breaks = np.zeros(len(raw) + 1, np.int32)
-    np.cumsum(_BREAK[raw], out=breaks[1:])
-    k[c[breaks[starts[c]] == breaks[ends[c - 1]]]] = 3
-    u = np.flatnonzero((k[1:] == 1) & (k[:-1] == 2) & ~heads[1:] & (starts[1:] - ends[:-1] <= 1)) + 1
-    at = np.searchsorted(_UNIT_HASHES, value[u])
-    k[u[_UNIT_HASHES[np.minimum(at, len(_UNIT_HASHES) - 1)] == value[u]]] = 4
-    # numbers and names of several parts are one token
-    same = np.zeros(len(k), bool)
-    for kind_, joins in _JOIN.items():
-        i = np.flatnonzero((k[1:] == kind_) & (k[:-1] == kind_) & ~heads[1:] & (starts[1:] - ends[:-1] == 1)) + 1
-        same[i[joins[raw[starts[i] - 1]]]] = True
-    if same.any():
-        keep = np.flatnonzero(~same)
-        last = np.append(keep[1:], len(k)) - 1
-        value = textkit.span_hashes(low, lo[keep], hi[last])
-        k, first = k[keep], np.searchsorted(keep, first)
-    token = np.where(k == 1, value, _SLOT[k])
-    return token, k, value, first
+
+    def names():
+        lead = raw[starts]
+        cap = (lead >= 65) & (lead <= 90)
+        two = np.flatnonzero((lead == 0xC3) & (starts + 1 < len(raw)))
+        cap[two] |= (raw[starts[two] + 1] >= 0x80) & (raw[starts[two] + 1] <= 0x9E)
+        c = np.flatnonzero(cap & ~heads & (plain == 1))
+        breaks = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum(_BREAK[raw], out=breaks[1:])
+        return c[breaks[starts[c]] == breaks[ends[c - 1]]]
+
+    def read(with_names: bool):
+        k, v, begin = plain.copy(), value, first
+        if with_names:
+            k[names()] = 3
+        u = np.flatnonzero((k[1:] == 1) & (k[:-1] == 2) & ~heads[1:] & (starts[1:] - ends[:-1] <= 1)) + 1
+        at = np.searchsorted(_UNIT_HASHES, v[u])
+        k[u[_UNIT_HASHES[np.minimum(at, len(_UNIT_HASHES) - 1)] == v[u]]] = 4
+        # numbers and names of several parts are one token
+        same = np.zeros(len(k), bool)
+        for kind_, joins in _JOIN.items():
+            i = np.flatnonzero((k[1:] == kind_) & (k[:-1] == kind_) & ~heads[1:] & (starts[1:] - ends[:-1] == 1)) + 1
+            same[i[joins[raw[starts[i] - 1]]]] = True
+        if same.any():
+            keep = np.flatnonzero(~same)
+            last = np.append(keep[1:], len(k)) - 1
+            parts = np.flatnonzero(last > keep)
+            v = value[keep]
+            v[parts] = textkit.span_hashes(low, lo[keep[parts]], hi[last[parts]])
+            k, begin = k[keep], np.searchsorted(keep, first)
+        return np.where(k == 1, v, _SLOT[k]), k, v, begin
+
+    return [read(x) for x in named]
 
 
 def windows(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +130,7 @@ def windows(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return (*_windows(token, kind, first, n), kind, value)
 
 
-def _windows(token, kind, first, n):
+def _windows(token, kind, first, n, series=0):
     count = np.diff(first)
     words = np.zeros(len(kind) + 1, np.int64)
     np.cumsum(kind == 1, out=words[1:])
@@ -124,7 +144,7 @@ def _windows(token, kind, first, n):
     h = np.zeros(len(at), np.uint64)
     for j in range(n):
         h += token[at + j] * np.uint64(pow(0xB5297A4D3F84D5B5, j + 1, 1 << 64) | 1)
-    h = textkit.mix(h ^ np.uint64(n * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+    h = textkit.mix(h ^ np.uint64((n + series * (WINDOW + 1)) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
     row = np.searchsorted(first, at, "right") - 1
     return row, at, at - first[row], h
 
@@ -144,19 +164,22 @@ class Filter:
         return at[self.hashes[where] == h[at]] if len(self.hashes) else at[:0]
 
 
-_WINDOWS = "id long, k long, h long, pos int, n_tokens int, slots array<long>"
+_WINDOWS = "id long, k long, series int, h long, pos int, n_tokens int, slots array<long>"
+#: Whether the windows of a series have names, or are blind to case.
+SERIES = [True, False]
 
 
-def _cut_windows(lengths: list[int], known=None):
-    """id, k, text -> windows of these lengths. None: WINDOW, or the text's own number of tokens where it has fewer."""
+def _cut_windows(lengths: list[tuple[int, int]], known=None):
+    """id, k, text -> windows of these (series, length). None: all series; WINDOW, or the text's own number of tokens where it has fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = known.value if known is not None else None
         for rows, texts in textkit.blocks(batches):
-            token, kind, value, first = tokens(texts)
-            size = np.diff(first)
-            for n in lengths or range(1, WINDOW + 1):
-                row, at, pos, h = _windows(token, kind, first, n)
+            read = readings(texts, SERIES)
+            for series, n in lengths or product(range(len(SERIES)), range(1, WINDOW + 1)):
+                token, kind, value, first = read[series]
+                size = np.diff(first)
+                row, at, pos, h = _windows(token, kind, first, n, series)
                 if not lengths and n < WINDOW:
                     own = size[row] == n
                     row, at, pos, h = row[own], at[own], pos[own], h[own]
@@ -169,7 +192,7 @@ def _cut_windows(lengths: list[int], known=None):
                 slot = kind[cells] > 1
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(slot.sum(1))]).astype(np.int32)), pa.array(value[cells[slot]].view(np.int64)))
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(h.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), lists], names=["id", "k", "h", "pos", "n_tokens", "slots"])
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(np.full(len(at), series, np.int32)), pa.array(h.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), lists], names=["id", "k", "series", "h", "pos", "n_tokens", "slots"])
 
     return run
 
@@ -195,28 +218,30 @@ def consistent(found: list[tuple[int, int, list[int], list[int]]]) -> tuple[int,
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        verdicts = [consistent([(x["ip"], x["dp"], x["a"], x["b"]) for x in r]) for r in batch.column(5).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(5)), pa.array([v[0] for v in verdicts], pa.int64()), pa.array([v[1] for v in verdicts], pa.bool_())], names=["doc_id", "k", "item_id", "ik", "of_windows", "windows", "reworded"])
+        verdicts = [consistent([(x["ip"], x["dp"], x["a"], x["b"]) for x in r]) for r in batch.column(6).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(6)), pa.array([v[0] for v in verdicts], pa.int64()), pa.array([v[1] for v in verdicts], pa.bool_())], names=["doc_id", "k", "item_id", "ik", "series", "of_windows", "windows", "reworded"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """doc_id, k, item_id, windows, of_windows, reworded: the units of docs that hold at least coverage of an item's windows."""
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.xxhash64("text").alias("k"), "text").distinct()
     of = common.cut(items.mapInArrow(_cut_windows([]), _WINDOWS))
-    total = of.groupBy("id", "k").agg(F.count("*").alias("of_windows"))
-    lengths = sorted({r[0] for r in of.select("n_tokens").distinct().collect()} or {WINDOW})
+    total = of.groupBy("id", "k", "series").agg(F.count("*").alias("of_windows"))
+    lengths = sorted({tuple(r) for r in of.select("series", "n_tokens").distinct().collect()} or {(0, WINDOW)})
     known = None
     if of.count() * 8 <= filter_bytes:
         hashes = of.select("h").distinct().toPandas()["h"].to_numpy(np.int64)
         known = docs.sparkSession.sparkContext.broadcast(Filter(hashes))
     units = common.units_of(docs).select(F.col("doc_id").alias("id"), "k", "text")
     mine = units.mapInArrow(_cut_windows(lengths, known), _WINDOWS).select(F.col("id").alias("doc_id"), F.col("k").alias("dk"), "h", F.col("pos").alias("dp"), F.col("slots").alias("b"))
-    of = of.join(total.select(F.col("id").alias("ti"), F.col("k").alias("tk"), "of_windows"), F.col("id").eqNullSafe(F.col("ti")) & (F.col("k") == F.col("tk")))
-    theirs = of.select(F.col("id").alias("item_id"), F.col("k").alias("ik"), "h", F.col("pos").alias("ip"), F.col("slots").alias("a"), "of_windows")
-    pairs = mine.join(theirs, "h").groupBy("doc_id", F.col("dk").alias("k"), "item_id", "ik", "of_windows").agg(F.collect_set(F.struct("ip", "dp", "a", "b")).alias("w"))
+    of = of.join(total.select(F.col("id").alias("ti"), F.col("k").alias("tk"), F.col("series").alias("ts"), "of_windows"), F.col("id").eqNullSafe(F.col("ti")) & (F.col("k") == F.col("tk")) & (F.col("series") == F.col("ts")))
+    theirs = of.select(F.col("id").alias("item_id"), F.col("k").alias("ik"), "series", "h", F.col("pos").alias("ip"), F.col("slots").alias("a"), "of_windows")
+    pairs = mine.join(theirs, "h").groupBy("doc_id", F.col("dk").alias("k"), "item_id", "ik", "series", "of_windows").agg(F.collect_set(F.struct("ip", "dp", "a", "b")).alias("w"))
     pairs = pairs.where(F.size("w") >= F.lit(coverage) * F.col("of_windows"))
-    judged = pairs.mapInArrow(_judge, "doc_id long, k long, item_id long, ik long, of_windows long, windows long, reworded boolean")
-    return judged.where(F.col("windows") >= F.lit(coverage) * F.col("of_windows")).select("doc_id", "k", "item_id", "windows", "of_windows", "reworded")
+    judged = pairs.mapInArrow(_judge, "doc_id long, k long, item_id long, ik long, series int, of_windows long, windows long, reworded boolean")
+    found = judged.where(F.col("windows") >= F.lit(coverage) * F.col("of_windows"))
+    first = found.groupBy("doc_id", "k", "item_id", "ik").agg(F.min(F.struct("series", "windows", "of_windows", "reworded")).alias("x"))
+    return first.select("doc_id", "k", "item_id", "x.windows", "x.of_windows", "x.reworded")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

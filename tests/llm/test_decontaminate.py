@@ -103,3 +103,13 @@ def test_clean_documents_stay(spark):
     d = docs(spark, [prose(1000 + i, 200) for i in range(200)])
     assert x.decontaminate(d, items(spark, bench)).count() == 200
     assert np.isclose(x.COVERAGE, 0.3)
+
+
+def test_copies_in_other_case(spark):
+    plain = [prose(i, 30) for i in range(2)] + [QUESTION]
+    texts = [f"{prose(50 + i, 10)} {f(b)} {prose(70 + i, 10)}" for i, b in enumerate(plain) for f in (str.upper, str.title, str.lower)]
+    texts += [QUESTION.replace("12", "47").upper(), prose(90, 100).upper()]
+    got = {(r.doc_id, r.item_id) for r in x.contaminated(docs(spark, texts), items(spark, plain)).collect()}
+    assert got == {(i, i // 3) for i in range(9)} | {(9, 2)}
+    assert got == {(r.doc_id, r.item_id) for r in x.contaminated(docs(spark, texts), items(spark, [p.upper() for p in plain])).collect()}
+    assert x.decontaminate(docs(spark, texts), items(spark, plain)).count() == 1
