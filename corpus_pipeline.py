@@ -23,7 +23,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that hold a benchmark item go."""
-    return decontaminate.decontaminate(docs, common.load(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(docs, common.load(spark, sf_dir, "benchmark"), thin=True)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,14 +11,21 @@ some slot has another value than in the item.
 
 Capitals make names, so a copy in upper or title case has other windows than the item. A second series of windows is
 therefore blind to case: no token is a name there, all else is the same. The series are hashed, joined and judged apart,
-and a document is contaminated if it is so in either; the counts told are the first's where both say so.
+and a document is contaminated if it is so in any; the counts told are those of the first series that says so.
+
+With thin=True, as the query and the pipeline have it, items without a window of LITERALS words are looked for too, in
+three more series. By values: windows of any tokens, blind to case, in which every token stands for itself, at COVERAGE;
+so each item that has a token is found where it is copied, and a very short one wherever its tokens stand in a row. By
+template, with names and without: windows of at least THIN words; all of an item's have to be in one copy, with
+consistent slots, and to hold all of its tokens, since so few words say little alone.
 
 The windows of a benchmark of up to FILTER_BYTES filter the documents' windows where they are made (a bitmap, then a
 sorted array: exact), so only hits reach the join; a larger benchmark is joined without the filter, by shuffle, with
 the same result.
 
-Nulls and cases: a null or empty text has no windows, on either side. Items without a window of LITERALS words are
-never found. Equal rows of a side count once. A null doc_id or item_id is a value like any other. Empty tables give no
+Nulls and cases: a null or empty text has no windows, on either side. Without thin, items that lack a window of
+LITERALS words are never found; with it, thin items with a stretch of fewer than THIN words in every window are found by
+their values alone. Equal rows of a side count once. A null doc_id or item_id is a value like any other. Empty tables give no
 rows. Only doc_id, text and item_id, text are read; other columns are ignored, whatever their names.
 """
 
@@ -36,6 +43,8 @@ from pyspark.sql import functions as F
 from tarnsieve.llm import common, textkit
 
 WINDOW, LITERALS, COVERAGE = 8, 5, 0.3
+#: Words that a window of a thin item's template has at least.
+THIN = 3
 #: Bytes of benchmark window hashes up to which they go to every worker as a filter.
 FILTER_BYTES = 64 << 20
 
@@ -140,7 +149,7 @@ def _windows(token, kind, first, n, series=0):
         inside[back[j <= count]] = False
     inside[max(0, len(kind) - n + 1) :] = False
     at = np.flatnonzero(inside)
-    at = at[words[at + n] - words[at] >= min(LITERALS, n)]
+    at = at[words[at + n] - words[at] >= [min(LITERALS, n), THIN, 0][series // 2]]
     h = np.zeros(len(at), np.uint64)
     for j in range(n):
         h += token[at + j] * np.uint64(pow(0xB5297A4D3F84D5B5, j + 1, 1 << 64) | 1)
@@ -165,24 +174,49 @@ class Filter:
 
 
 _WINDOWS = "id long, k long, series int, h long, pos int, n_tokens int, slots array<long>"
-#: Whether the windows of a series have names, or are blind to case.
-SERIES = [True, False]
+#: The series: by template with names, and blind to case; then for thin items alone the same two, and by values.
+SERIES, WHOLE, VALUES = 5, (2, 3), 4
+
+
+def _series(texts: pa.Array) -> list:
+    """tokens() of each series."""
+    names, blind = readings(texts, [True, False])
+    _, kind, value, first = blind
+    return [names, blind, names, blind, (value, np.ones_like(kind), value, first)]
+
+
+def _whole(row: np.ndarray, pos: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """Whether windows (in order) belong to rows whose windows hold all of their tokens."""
+    lead = np.flatnonzero(np.diff(row, prepend=-1))
+    last = np.append(lead[1:], len(row)) - 1 if len(row) else lead
+    gap = np.flatnonzero((np.diff(row) == 0) & (np.diff(pos) > n))
+    bad = np.zeros(len(size), bool)
+    bad[row[lead[pos[lead] > 0]]] = bad[row[last[pos[last] + n < size[row[last]]]]] = bad[row[gap]] = True
+    return ~bad[row]
 
 
-def _cut_windows(lengths: list[tuple[int, int]], known=None):
-    """id, k, text -> windows of these (series, length). None: all series; WINDOW, or the text's own number of tokens where it has fewer."""
+def _cut_windows(lengths: list[tuple[int, int]], known=None, thin: bool = False):
+    """id, k, text -> windows of these (series, length). None, for items: all series; WINDOW, or the text's own number of tokens where it has fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = known.value if known is not None else None
         for rows, texts in textkit.blocks(batches):
-            read = readings(texts, SERIES)
-            for series, n in lengths or product(range(len(SERIES)), range(1, WINDOW + 1)):
+            read = _series(texts)
+            have = np.zeros((2, len(texts)), bool)  # whether items have a window of enough words, with names or without
+            for series, n in lengths or product(range(SERIES if thin else 2), range(1, WINDOW + 1)):
                 token, kind, value, first = read[series]
                 size = np.diff(first)
                 row, at, pos, h = _windows(token, kind, first, n, series)
                 if not lengths and n < WINDOW:
                     own = size[row] == n
                     row, at, pos, h = row[own], at[own], pos[own], h[own]
+                if not lengths and series < 2:
+                    have[series, row] = True
+                elif not lengths:
+                    own = ~have[0 if series == 2 else 1, row]
+                    if series in WHOLE:
+                        own &= _whole(row, pos, size, n)
+                    row, at, pos, h = row[own], at[own], pos[own], h[own]
                 if keep is not None:
                     hit = keep(h)
                     row, at, pos, h = row[hit], at[hit], pos[hit], h[hit]
@@ -216,16 +250,27 @@ def consistent(found: list[tuple[int, int, list[int], list[int]]]) -> tuple[int,
     return len(good), differs
 
 
+def in_one_copy(found: list[tuple[int, int, list[int], list[int]]]) -> tuple[int, bool]:
+    """consistent() of the copy that has the most."""
+    copies = defaultdict(list)
+    for x in found:
+        copies[x[1] - x[0]].append(x)
+    return max((consistent(c) for c in copies.values()), key=lambda v: (v[0], not v[1]))
+
+
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        verdicts = [consistent([(x["ip"], x["dp"], x["a"], x["b"]) for x in r]) for r in batch.column(6).to_pylist()]
+        verdicts = [(in_one_copy if s in WHOLE else consistent)([(x["ip"], x["dp"], x["a"], x["b"]) for x in r]) for s, r in zip(batch.column(4).to_pylist(), batch.column(6).to_pylist())]
         yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(6)), pa.array([v[0] for v in verdicts], pa.int64()), pa.array([v[1] for v in verdicts], pa.bool_())], names=["doc_id", "k", "item_id", "ik", "series", "of_windows", "windows", "reworded"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """doc_id, k, item_id, windows, of_windows, reworded: the units of docs that hold at least coverage of an item's windows."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, filter_bytes: int = FILTER_BYTES, thin: bool = False) -> DataFrame:
+    """doc_id, k, item_id, windows, of_windows, reworded: the units of docs that hold at least coverage of an item's windows.
+
+    thin: whether to look for items without a window of LITERALS words too.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.xxhash64("text").alias("k"), "text").distinct()
-    of = common.cut(items.mapInArrow(_cut_windows([]), _WINDOWS))
+    of = common.cut(items.mapInArrow(_cut_windows([], thin=thin), _WINDOWS))
     total = of.groupBy("id", "k", "series").agg(F.count("*").alias("of_windows"))
     lengths = sorted({tuple(r) for r in of.select("series", "n_tokens").distinct().collect()} or {(0, WINDOW)})
     known = None
@@ -237,17 +282,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     of = of.join(total.select(F.col("id").alias("ti"), F.col("k").alias("tk"), F.col("series").alias("ts"), "of_windows"), F.col("id").eqNullSafe(F.col("ti")) & (F.col("k") == F.col("tk")) & (F.col("series") == F.col("ts")))
     theirs = of.select(F.col("id").alias("item_id"), F.col("k").alias("ik"), "series", "h", F.col("pos").alias("ip"), F.col("slots").alias("a"), "of_windows")
     pairs = mine.join(theirs, "h").groupBy("doc_id", F.col("dk").alias("k"), "item_id", "ik", "series", "of_windows").agg(F.collect_set(F.struct("ip", "dp", "a", "b")).alias("w"))
-    pairs = pairs.where(F.size("w") >= F.lit(coverage) * F.col("of_windows"))
+    enough = F.when(F.col("series").isin(*WHOLE), F.col("of_windows")).otherwise(F.lit(coverage) * F.col("of_windows"))
+    pairs = pairs.where(F.size("w") >= enough)
     judged = pairs.mapInArrow(_judge, "doc_id long, k long, item_id long, ik long, series int, of_windows long, windows long, reworded boolean")
-    found = judged.where(F.col("windows") >= F.lit(coverage) * F.col("of_windows"))
+    found = judged.where(F.col("windows") >= enough)
     first = found.groupBy("doc_id", "k", "item_id", "ik").agg(F.min(F.struct("series", "windows", "of_windows", "reworded")).alias("x"))
     return first.select("doc_id", "k", "item_id", "x.windows", "x.of_windows", "x.reworded")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, thin: bool = False) -> DataFrame:
     """docs without the rows that contaminated() finds; columns as they are."""
-    return common.without_units(docs, common.cut(contaminated(docs, benchmark, coverage).select("doc_id", "k").distinct()))
+    return common.without_units(docs, common.cut(contaminated(docs, benchmark, coverage, thin=thin).select("doc_id", "k").distinct()))
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "benchmark")).drop("k")
+    return contaminated(common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "benchmark"), thin=True).drop("k")

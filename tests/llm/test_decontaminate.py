@@ -113,3 +113,26 @@ def test_copies_in_other_case(spark):
     assert got == {(i, i // 3) for i in range(9)} | {(9, 2)}
     assert got == {(r.doc_id, r.item_id) for r in x.contaminated(docs(spark, texts), items(spark, [p.upper() for p in plain])).collect()}
     assert x.decontaminate(docs(spark, texts), items(spark, plain)).count() == 1
+
+
+def test_items_of_few_words(spark, tmp_path):
+    import corpus_pipeline
+
+    sums = "2 + 3 = 5, 4 + 5 = 9, 6 + 1 = 7, 8 + 8 = 16, 3 + 4 = 7"
+    long = "Tom has 3 cats and 4 dogs, Ann has 5 hens and 6 ducks, Sue has 7 pigs and 8 cows"
+    bench = ["What is 12 plus 7?", "What is 12 times 12?", "812", sums, "Is Mary older than Ann?", LONG[:400], long, "?!"]
+    texts = [f"{prose(50 + i, 10)}. {b} {prose(70 + i, 10)}" for i, b in enumerate(bench)]
+    texts += [f"{prose(50 + i, 10)}. {b.upper()} {prose(70 + i, 10)}" for i, b in enumerate(bench)]
+    texts += ["So: what is 30 plus 9?", "so: what is 30 minus 9?", "so: what is 30 times 9?", "So. Is Peter older than Lucy?", "So. " + long.replace("3", "9").replace("Sue", "Eve"), "So. " + long.split(", Sue")[0].replace("3", "9"), "1 + 3 = 4, 4 + 4 = 8"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    items(spark, bench).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r.reworded for r in x.op10_benchmark_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {(i + n, i): False for i in range(7) for n in (0, 8)} | {(16, 0): True, (19, 4): True, (20, 6): True, (21, 6): True}
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.decontamination(spark, d, str(tmp_path)).collect()) == [7, 15, 17, 18, 22]
+    assert same_rows(x.contaminated(d, items(spark, bench), thin=True), x.contaminated(d, items(spark, bench), filter_bytes=0, thin=True))
+
+
+def test_thin_templates_have_to_be_in_one_copy():
+    found = [(0, 5, [1], [2]), (1, 6, [1], [2]), (2, 40, [1], [1])]
+    assert x.consistent(found) == (3, True) and x.in_one_copy(found) == (2, True)
