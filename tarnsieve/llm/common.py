@@ -58,14 +58,46 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def text_key(text: str = "text") -> Column:
+class Plain:
+    """A table whose columns are called c0_, c1_, ... so that no name of its own (dots, backticks, doubles) can harm.
+
+    col() finds a column by its own name, without case, the first of equal ones; back() gives a table that still has these columns
+    their own names again, in their order.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.own, self.names = df.columns, [f"c{i}_" for i in range(len(df.columns))]
+        self.df = df.toDF(*self.names)
+        self.types = [f.dataType for f in df.schema.fields]
+        self._at: dict[str, str] = {}
+        for own, name in zip(self.own, self.names):
+            self._at.setdefault(own.lower(), name)
+
+    def col(self, own: str) -> Column:
+        return F.col(self._at[own.lower()])
+
+    def long(self, own: str) -> Column:
+        """As a long; what is no whole number is null."""
+        return self.col(own).try_cast("long")
+
+    def back(self, df: DataFrame, *added: str) -> DataFrame:
+        return df.select(*self.names, *added).toDF(*self.own, *added)
+
+
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """These columns alone, under these names; doc_id, item_id and page_id as longs (what is no whole number is null), the rest but text as they are."""
+    p = Plain(df)
+    return p.df.select(*((p.long(n) if n.endswith("_id") else p.col(n)).alias(n) for n in names))
+
+
+def text_key(text: Column | str = "text") -> Column:
     """64 bits that stand for a text; with the doc_id they name a unit."""
-    return F.xxhash64(F.col(text))
+    return F.xxhash64(F.col(text) if isinstance(text, str) else text)
 
 
 def units_of(docs: DataFrame) -> DataFrame:
     """doc_id, text and the unit's key k, under these very names, whatever else docs has."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), text_key().alias("k"))
+    return picked(docs, "doc_id", "text").withColumn("k", text_key())
 
 
 def _sized(units: DataFrame, limit: int) -> DataFrame:
@@ -74,12 +106,11 @@ def _sized(units: DataFrame, limit: int) -> DataFrame:
 
 
 def _joined(docs: DataFrame, units: DataFrame, how: str, limit: int | None) -> DataFrame:
-    k, i = free_name(docs, "unit_key"), free_name(docs, "unit_id")
-    ref = units.select(F.col("k").alias("u_k_" + k), F.col("doc_id").alias("u_i_" + i))
+    p = Plain(docs)
+    ref = units.select(F.col("k").alias("u_k"), F.col("doc_id").alias("u_i"))
     ref = ref if limit is None else _sized(ref, limit)
-    left = docs.withColumns({k: text_key(), i: F.col("doc_id").cast("long")})
-    on = (left[k] == ref["u_k_" + k]) & left[i].eqNullSafe(ref["u_i_" + i])
-    return left.join(ref, on, how).select(*[left[c] for c in docs.columns])
+    on = (text_key(p.col("text")) == F.col("u_k")) & p.long("doc_id").eqNullSafe(F.col("u_i"))
+    return p.back(p.df.join(ref, on, how))
 
 
 def without_units(docs: DataFrame, units: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -90,3 +121,31 @@ def without_units(docs: DataFrame, units: DataFrame, limit: int = BROADCAST_BYTE
 def only_units(docs: DataFrame, units: DataFrame, limit: int | None = BROADCAST_BYTES) -> DataFrame:
     """The rows of docs that belong to the given units."""
     return _joined(docs, units, "left_semi", limit)
+
+
+def by_size(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """table (cut()) marked for a broadcast where its counted size allows it."""
+    return F.broadcast(table) if table.count() * row_bytes <= limit else table
+
+
+def sortable(column: Column, kind) -> Column:
+    """What rows can be sorted by: types without an order by their JSON text, with map keys in order."""
+    from pyspark.sql import types as t
+
+    def orderless(x) -> bool:
+        if isinstance(x, t.ArrayType):
+            return orderless(x.elementType)
+        if isinstance(x, t.StructType):
+            return any(orderless(f.dataType) for f in x.fields)
+        return isinstance(x, (t.MapType, t.VariantType))
+
+    def entries(c: Column, x) -> Column:
+        if isinstance(x, t.MapType) and not orderless(x.keyType):
+            return F.array_sort(F.transform(F.map_entries(c), lambda e: F.to_json(F.struct(e["key"].alias("k"), entries(e["value"], x.valueType).alias("v")))))
+        if isinstance(x, t.ArrayType) and orderless(x):
+            return F.transform(c, lambda e: entries(e, x.elementType))
+        if isinstance(x, t.StructType) and orderless(x):
+            return F.struct(*(entries(c.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(x.fields)))
+        return c
+
+    return F.to_json(F.struct(entries(column, kind).alias("v"))) if orderless(kind) else column
