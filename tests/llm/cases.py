@@ -25,6 +25,15 @@ def weird(spark, columns=CLASHING):
     return df
 
 
+def odd_columns(spark, rows):
+    """rows (doc_id, text), with columns of odd names and types; the names hold dots, backticks and blanks, one is there twice."""
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], SCHEMA)
+    more = {"a.b": "1", "c`d": "'x'", "e f": "map('k', 1)", "struct.of`map": "named_struct('m', map(1, array(map('a', 2))), 'x', 1)", "array of map": "array(map(1, 2), null)", "doc_id.text": "null"}
+    for name, value in more.items():
+        df = df.selectExpr("*", f"{value} as `{name.replace('`', '``')}`")
+    return df.toDF(*df.columns[:-1], "a.b")
+
+
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 

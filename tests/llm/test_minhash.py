@@ -5,7 +5,8 @@ import pyarrow as pa
 import pytest
 
 from tarnsieve.llm import minhash as m
-from tests.llm.cases import SCHEMA, docs, empty, prose, same_rows, weird
+from tarnsieve.llm import common
+from tests.llm.cases import SCHEMA, docs, empty, odd_columns, prose, same_rows, weird
 
 
 def jaccard(a, b):
@@ -80,10 +81,11 @@ def corpus():
 def test_recall_against_brute_force(spark):
     texts = corpus()
     pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.7]
-    root = {}
+    root, size = {}, {}
     for r in m.near_duplicates(docs(spark, texts)).collect():
-        assert r.doc_ids == sorted(r.doc_ids) and r.stays == r.doc_ids[0] and r.n_docs == len(r.doc_ids)
-        root.update(dict.fromkeys(r.doc_ids, r.stays))
+        root[r.doc_id] = r.class_id
+        size[r.class_id] = size.get(r.class_id, []) + [(r.doc_id, r.links)]
+    assert all(min(v)[0] == c and {n for _, n in v} == {len(v) - 1} for c, v in size.items())
     assert np.mean([root.get(i, i) == root.get(j, j) for i, j in pairs]) >= 0.9
     together = [(i, j) for i in root for j in root if i < j and root[i] == root[j]]
     assert all(jaccard(texts[i], texts[j]) > 0.4 for i, j in together)
@@ -91,8 +93,7 @@ def test_recall_against_brute_force(spark):
 
 def test_one_of_each_group_stays(spark):
     d = docs(spark, corpus())
-    groups = m.near_duplicates(d).collect()
-    gone = {i for g in groups for i in g.doc_ids if i != g.stays}
+    gone = {r.doc_id for r in m.near_duplicates(d).collect() if r.doc_id != r.class_id}
     assert {r.doc_id for r in m.deduplicate(d).collect()} == set(range(d.count())) - gone
     assert same_rows(m.deduplicate(d), m.deduplicate(d.repartition(5)))
 
@@ -104,8 +105,7 @@ def test_weird_rows(spark):
     left = sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
     # 6 (three times) and the first 7 are one text; all texts without words stay
     assert left == [(False, i) for i in (1, 2, 3, 4, 5, 6, 7, 8, 9)] + [(True, 0), (True, 0)]
-    (g,) = m.near_duplicates(d).collect()
-    assert (g.stays, g.doc_ids, g.n_docs) == (6, [6, 6, 6, 7], 4)
+    assert sorted(tuple(r) for r in m.near_duplicates(d).collect()) == [(6, 6, 3)] * 3 + [(7, 6, 3)]
     assert m.deduplicate(empty(spark)).count() == 0 and m.near_duplicates(empty(spark)).count() == 0
 
 
@@ -113,3 +113,51 @@ def test_null_ids_come_last(spark):
     rows = [(None, prose(1), "en", "a", 1), (5, prose(1), "en", "a", 1), (None, prose(2), "en", "a", 1), (None, prose(2), "en", "a", 1)]
     out = m.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id or 0) for r in out) == [0, 5]
+
+
+def test_any_columns(spark):
+    d = odd_columns(spark, [(6, prose(2)), (6, prose(2)), (7, prose(2)), (8, prose(3)), (None, None)])
+    out = m.deduplicate(d)
+    assert out.columns == d.columns and out.dtypes == d.dtypes and sorted((r[0] or 0) for r in out.collect()) == [0, 6, 8]
+
+
+def test_rows_of_one_unit_are_told_by_maps(spark):
+    d = spark.sql("select 1L as doc_id, 'one two three' as text, map('a', id) as m from range(5)")
+    assert [r.m for r in m.deduplicate(d).collect()] == [{"a": 0}] == [r.m for r in m.deduplicate(d.repartition(5)).collect()]
+
+
+def _nodes(spark, sigs, bands):
+    rows = [(i, [int(x) for x in s.view(np.int64)], b) for i, (s, b) in enumerate(zip(sigs, bands))]
+    return common.cut(spark.createDataFrame(rows, "sh long, sig array<long>, bands array<long>"))
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_buckets_against_all_pairs(spark, block):
+    """Chains within buckets, found in blocks of any size."""
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 63, (5, m._LANES), dtype=np.uint64)
+    sigs, last = [], {}
+    for _ in range(90):
+        b = int(r.integers(5))
+        s = last.get(b, base[b]).copy()
+        f = r.choice(m.PERMUTATIONS, int(r.integers(20, 48)), replace=False)
+        for x in f:
+            s[x // m._FIELDS] ^= np.uint64(1) << np.uint64(m.BITS * (x % m._FIELDS))
+        last[b] = s
+        sigs.append(s)
+    bands = [[int(i % 3), 10 + int(i % 2), 100 + i] for i in range(90)]
+    pairs = [(i, j) for i in range(90) for j in range(i) if {*bands[i]} & {*bands[j]} and m.similarity(m.equal_fields(sigs[i], sigs[j])) >= m.THRESHOLD - 1e-9]
+    want = {i: x for i, x in enumerate(brute_components(90, pairs)) if x != i}
+    assert {x.node: x.root for x in m.links(_nodes(spark, sigs, bands), block=block).collect() if x.node != x.root} == want and want
+
+
+def test_a_bucket_of_many_unlike_members(spark):
+    r = np.random.default_rng(9)
+    n = 6_000
+    sigs = r.integers(0, 1 << 63, (n, m._LANES), dtype=np.uint64)
+    sigs[n - 1] = sigs[n - 2]
+    sigs[n - 1, 0] ^= np.uint64(1)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m._LANES), pa.array(sigs.view(np.int64).ravel()))
+    bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(np.zeros(n, np.int64)))
+    nodes = common.cut(spark.createDataFrame(pa.table({"sh": pa.array(np.arange(n)), "sig": lists, "bands": bands})))
+    assert [(x.node, x.root) for x in m.links(nodes).collect()] == [(n - 1, n - 2)]
