@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tarnsieve.llm import sharding as s
-from tests.llm.cases import SCHEMA, empty, prose, same_rows, weird
+from tests.llm.cases import SCHEMA, empty, odd_columns, prose, same_rows, weird
 
 
 def corpus(spark, n=800):
@@ -10,10 +10,10 @@ def corpus(spark, n=800):
     return spark.createDataFrame([(int(i), "x" * int(min(40_000, r.pareto(1.1) * 200)), "en", "hot" if i % 3 else f"s{i % 7}", 0) for i in range(n)], SCHEMA)
 
 
-@pytest.mark.parametrize("target", [2_000, 20_000, 1 << 30])
-def test_shards(spark, target):
+@pytest.mark.parametrize("target, fan", [(2_000, None), (20_000, None), (1 << 30, None), (2_000, 5), (3_000, 2)])
+def test_shards(spark, target, fan):
     d = corpus(spark)
-    out = s.shard(d, target)
+    out = s.shard(d, target, fan=fan)
     rows = out.collect()
     assert sorted(r.doc_id for r in rows) == list(range(800)) and out.columns == [*d.columns, "shard_id"]
     size, keys = {}, {}
@@ -63,3 +63,29 @@ def test_weird_rows(spark):
 def test_ties(spark):
     d = spark.createDataFrame([(1, prose(1), "en", "a", 0)] * 50 + [(2, prose(2), "en", "a", 0)] * 50, SCHEMA)
     assert {r.shard_id for r in s.shard(d, 100).collect()} == {0, 1}
+
+
+def test_levels(spark):
+    """However many ranges the driver draws, the shards keep order and bound, and each lies in one partition."""
+    d = corpus(spark, 400)
+    for fan in (1, 3, 8192):
+        out = s.shard(d, 4_000, fan=fan)
+        places = out.select("shard_id", s.F.spark_partition_id().alias("p")).distinct().collect()
+        assert len(places) == len({x.shard_id for x in places})
+        assert same_rows(out, s.shard(d.repartition(7), 4_000, fan=fan))
+        assert s.shard(empty(spark), fan=fan).count() == 0
+    d = weird(spark)
+    out = s.shard(d, 600, fan=2)
+    assert same_rows(out.select(*d.columns), d)
+
+
+def test_any_columns(spark):
+    d = odd_columns(spark, [(i, prose(i)) for i in range(9)] + [(None, None)])
+    for fan in (1, None):
+        out = s.shard(d, 300, fan=fan)
+        assert out.columns == [*d.columns, "shard_id"] and out.count() == 10
+
+
+def test_ids_that_are_no_numbers(spark):
+    d = spark.createDataFrame([("x", prose(1), "a"), ("7", prose(2), "a"), (None, prose(1), "a")], "doc_id string, text string, source string")
+    assert [r.doc_id for r in sorted(s.shard(d, 10).collect(), key=lambda r: r.shard_id)][-1] == "7"
