@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tarnsieve.llm import mixing as m
-from tests.llm.cases import SCHEMA, empty, same_rows, weird
+from tests.llm.cases import SCHEMA, empty, odd_columns, same_rows, weird
 
 
 def test_flight_keeps_both_totals():
@@ -35,12 +35,74 @@ def corpus(spark, n=3000):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def probabilities(tokens, weights):
+    """Inclusion probabilities by dictionaries."""
+    w = {s: t**m.ALPHA if weights is None else weights.get(s, 0) for s, t in tokens.items()}
+    ratios = {s: t / w[s] for s, t in tokens.items() if w[s] and t}
+    large = [x for s, x in ratios.items() if tokens[s] >= m.SMALL * sum(tokens.values())]
+    limit = min(large or ratios.values(), default=0)
+    return {s: min(1, w[s] * limit / t) if t else float(weights is None or w[s] > 0) for s, t in tokens.items()}
+
+
+def brute(rows, weights, seed, chunk):
+    """Rows (doc_id, text, source) that stay, by the flight and landing of each source's chunks, one after another."""
+    by = {}
+    for u, s, t in rows:
+        by.setdefault(s, []).append((u, t))
+    p = probabilities({s: sum(t for _, t in v) for s, v in by.items()}, weights)
+    kept = {u for s, v in by.items() if p[s] >= 1 - 1e-9 for u, _ in v}
+    for s, v in by.items():
+        if 1e-9 < p[s] < 1 - 1e-9:
+            assert len(v) <= chunk
+            u, t = np.array(sorted(v)).T
+            q = m.flight(np.full(len(u), p[s]), t.astype(float), np.lexsort((u, m._draws(u, seed + 1))), m._draws(u, seed))
+            kept |= set(u[m.landing(q, m._draws(u, seed + 2)) == 1].tolist())
+    return kept
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 3, "b": 1, "c": 1}, {"a": 1}])
+def test_query_against_brute_force(spark, weights):
+    d = corpus(spark, 1500)
+    units = [(r.u, r.s, r.tokens) for r in m._units(d).collect()]
+    assert {r.u for r in m.chosen_units(d, weights).collect()} == brute(units, weights, m.SEED, m.CHUNK)
+
+
+def test_small_sources_set_no_bound(spark):
+    rows = [(i, "w " * 50, "en", "big", 0) for i in range(4000)] + [(9000, "one two", "en", "stray", 0)]
+    out = m.mix(spark.createDataFrame(rows, SCHEMA)).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in out} == {"big": 4000, "stray": 1}
+
+
+def test_many_sources(spark):
+    d = spark.range(60_000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 50 as int)) as text", "concat('h', id % 30000) as source")
+    out = m.chosen_units(d, alpha=0.5)
+    assert 0 < out.count() < 60_000
+
+
+def test_any_columns(spark):
+    d = odd_columns(spark, [(i, "w " * (i + 1)) for i in range(30)])
+    out = m.mix(d, {"s": 1})
+    assert out.columns == d.columns and out.count() == 30
+
+
+def test_chunks_run_over_batches(spark):
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    s = np.sort(r.integers(0, 6, 200))
+    whole = pa.RecordBatch.from_arrays([pa.array(r.permutation(200)), pa.array([None if x == 0 else f"s{x}" for x in s], pa.string()), pa.array(r.integers(1, 99, 200)), pa.array(np.full(200, 0.4)), pa.array(np.zeros(200, np.int64))], names=["u", "s", "tokens", "p", "c"])
+    for last in (True, False):
+        one = pa.Table.from_batches(m._level(1, last)(iter([whole])))
+        many = pa.Table.from_batches(m._level(1, last)(iter([whole.slice(i, 7) for i in range(0, 200, 7)])))
+        assert one.to_pylist() == many.to_pylist()
+
+
 @pytest.mark.parametrize("weights, chunk", [({"a": 1, "b": 1, "c": 1}, 2048), ({"a": 5, "b": 3, "c": 1}, 100), (None, 100)])
 def test_weights_are_met(spark, monkeypatch, weights, chunk):
     monkeypatch.setattr(m, "CHUNK", chunk)
     d = corpus(spark)
     have = {r.source: r for r in m._units(d).groupBy("s").agg({"tokens": "sum"}).toDF("source", "t").collect()}
-    p = m.weights_of({s: r.t for s, r in have.items()}, weights, m.ALPHA)
+    p = probabilities({s: r.t for s, r in have.items()}, weights)
     rows = m.mix(d, weights).collect()
     for s, r in have.items():
         kept = [len(x.text.split()) for x in rows if x.source == s]
