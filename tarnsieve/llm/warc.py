@@ -4,16 +4,18 @@ write() lays pages out as WARC 1.1 response records, each a gzip member of its o
 index as a table: file, offset, length, URL, record id and SHA-1 digest of the payload. Records are then chosen in the
 index alone, and read_records() fetches just these: their ranges are put in order of (file, offset), ranges that lie
 within GAP bytes of each other are read as one of up to SPAN bytes, and the members are unpacked from there. Each digest
-is checked. index_files() makes the same index of files from elsewhere, by walking their gzip members.
+is checked. index_files() makes the same index of files from elsewhere, by walking their gzip members or, in files that
+aren't packed, their records.
 
 Files and the index lie in the session's shared folder. A task writes under a name of its own and the index row comes
 from the attempt that Spark took, so lost executors and repeated attempts leave unused files, never wrong rows.
 
 Nulls and cases: a page without html is a record with an empty payload and comes back as an empty string, told apart by
 the header WARC-Page-Null (null again). A null url is written as the empty string under WARC-URL-Null. Equal rows are
-records of their own. An empty table gives an index without rows and no files. Columns other than page_id, url and html
-aren't written. Of several captures of one URL latest() takes the one with the greatest page_id, then greatest digest;
-captures without a URL count as captures of one.
+records of their own. A page_id that is no whole number is null. Very long pages are one record each, read in one piece
+beyond SPAN. An empty table gives an index without rows and no files. Columns other than page_id, url and html aren't
+written, whatever their names. Of several captures of one URL latest() takes the one with the greatest page_id, then
+digest, file and offset (so ties have the same payload); each capture without a URL stands for itself.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnsieve.llm import common
 
 GAP, SPAN, LEVEL = 64 << 10, 8 << 20, 1
+#: Bytes of records that a task reads, about; at least LEAST where there are more cores than that needs.
+READ, LEAST = 64 << 20, 1 << 20
 INDEX = "file string, offset long, length long, url string, record_id long, digest string"
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -104,7 +108,7 @@ def _writer(folder: str):
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Writes pages as WARC files into folder/data and their index as a table into folder/index; the index, read again."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").alias("html"))
+    rows = common.picked(pages, "page_id", "url", "html").select("page_id", F.col("url").cast("string").alias("url"), "html")
     rows.mapInArrow(_writer(f"{folder}/data"), INDEX).write.parquet(f"{folder}/index")
     return pages.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 
@@ -123,12 +127,42 @@ def members(stream) -> Iterator[tuple[int, int, bytes]]:
         raise ValueError(f"the member at {at} is cut short")
 
 
+def records(stream) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and content of the records of a stream that isn't packed."""
+    at, held = 0, b""
+    while True:
+        while b"\r\n\r\n" not in held and (more := stream.read(1 << 20)):
+            held += more
+        head, found, _ = held.partition(b"\r\n\r\n")
+        if not found:
+            if held.strip():
+                raise ValueError(f"the record at {at} is cut short")
+            return
+        size = next((int(v) for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")) if k.strip().lower() == b"content-length"), 0)
+        n = len(head) + 4 + size + 4
+        parts, have = [held], len(held)
+        while have < n and (more := stream.read(max(1 << 20, n - have))):
+            parts.append(more)
+            have += len(more)
+        held = b"".join(parts)
+        if have < n - 4:
+            raise ValueError(f"the record at {at} is cut short")
+        yield at, min(n, have), held[:n]
+        at, held = at + n, held[n:]
+
+
+def _unpacked(data: bytes) -> bytes:
+    return zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch.column(0).to_pylist():
             rows = []
             with _open(path, "r") as f:
-                for at, n, raw in members(f):
+                packed = f.read(2) == b"\x1f\x8b"
+                f.seek(0)
+                for at, n, raw in (members if packed else records)(f):
                     r = parse(raw)
                     if r["type"] == "response":
                         rows.append((path, at, n, r["url"], r["page_id"], r["digest"]))
@@ -137,16 +171,17 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def index_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The index of WARC files of gzip members; a task a file. Other records than responses are passed over."""
+    """The index of WARC files, packed or not; a task a file. Other records than responses are passed over."""
     files = spark.createDataFrame([(p,) for p in paths], "file string").repartition(max(1, len(paths)))
     return files.mapInArrow(_index, INDEX)
 
 
 def latest(index: DataFrame) -> DataFrame:
     """Of each URL the index row of the last capture."""
-    # only (url, id, digest) is looked at; no record is read
-    last = Window.partitionBy("url").orderBy(F.col("record_id").desc_nulls_last(), F.col("digest").desc(), "file", "offset")
-    return index.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
+    # nothing but the index is looked at; grouped maxima are combined before the shuffle, whatever one URL's captures are
+    own = F.when(F.col("url").isNull(), F.concat_ws(":", "file", F.col("offset").cast("string")))
+    last = F.max(F.struct("record_id", "digest", "file", "offset", "length")).alias("x")
+    return index.groupBy("url", own.alias("own")).agg(last).select("x.file", "x.offset", "x.length", "url", "x.record_id", "x.digest")
 
 
 def spans(rows: list[tuple[int, int]], gap: int = GAP, span: int = SPAN) -> list[tuple[int, int, int]]:
@@ -178,7 +213,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = f.read_at(n, lo)
                 rows = []
                 for i in range(begin + first, begin + after):
-                    r = parse(zlib.decompress(data[at[i] - lo : at[i] - lo + length[i]], 31))
+                    r = parse(_unpacked(data[at[i] - lo : at[i] - lo + length[i]]))
                     if r["digest"] != said[i]:
                         raise ValueError(f"{path} at {at[i]}: the digest differs from the index")
                     rows.append((r["page_id"], r["url"], r["html"], r["digest"]))
@@ -190,7 +225,10 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_records(chosen: DataFrame) -> DataFrame:
     """page_id, url, html, digest of the records that the index rows name."""
-    ordered = chosen.select("file", "offset", "length", "digest").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    chosen = common.cut(chosen.select("file", "offset", "length", "digest"))
+    total = chosen.agg(F.sum("length")).first()[0] or 0
+    parts = max(1, -(-total // READ), min(chosen.sparkSession.sparkContext.defaultParallelism, -(-total // LEAST)))
+    ordered = chosen.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(_reader, "page_id long, url string, html string, digest string")
 
 
@@ -202,4 +240,4 @@ def op6_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = """SELECT page_id, url, sha256(html) AS html_sha256, CAST(strlen(html) AS BIGINT) AS n_bytes
-FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1"""
+FROM pages QUALIFY row_number() OVER (PARTITION BY url, CASE WHEN url IS NULL THEN page_id END ORDER BY page_id DESC) = 1"""
