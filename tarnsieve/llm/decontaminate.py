@@ -6,8 +6,8 @@ which at least LITERALS are words, are hashed and joined by hash between documen
 tokens is one window, and the documents' windows of that length are joined too. Whatever stands in the slots stays
 beside the window. Within one copy of an item (one difference of positions) a slot value of the item has to stand for
 one and the same value of the document: windows that contradict the mapping most others use don't count. A document is
-contaminated by an item if the windows that count hold at least COVERAGE of the item's windows; "reworded" says that
-some slot has another value than in the item.
+contaminated by an item if the windows that count hold at least COVERAGE of the item's windows, or a run of at least LONG
+tokens of it in one copy, however long the item is; "reworded" says that some slot has another value than in the item.
 
 Capitals make names, so a copy in upper or title case has other windows than the item. A second series of windows is
 therefore blind to case: no token is a name there, all else is the same. The series are hashed, joined and judged apart,
@@ -25,14 +25,17 @@ the same result.
 
 Nulls and cases: a null or empty text has no windows, on either side. Without thin, items that lack a window of
 LITERALS words are never found; with it, thin items with a stretch of fewer than THIN words in every window are found by
-their values alone. Equal rows of a side count once. A null doc_id or item_id is a value like any other. Empty tables give no
-rows. Only doc_id, text and item_id, text are read; other columns are ignored, whatever their names.
+their values alone. Equal rows of a side count once; a text of any length is read whole. A null doc_id or item_id is a
+value like any other, and one that is no whole number is null. Ties: of slot values that as many windows vote for the
+least hash stands. Empty tables give no rows. Only doc_id, text and item_id, text are read; other columns are ignored, and
+pass through decontaminate(), whatever their names. Capitals are told in all scripts of two bytes a letter (Latin, Greek,
+Cyrillic, Armenian); units are English words and symbols, those of other languages are words like any other.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import product
 
 import numpy as np
@@ -43,6 +46,8 @@ from pyspark.sql import functions as F
 from tarnsieve.llm import common, textkit
 
 WINDOW, LITERALS, COVERAGE = 8, 5, 0.3
+#: Tokens of an item that suffice where they stand in a row.
+LONG = 24
 #: Words that a window of a thin item's template has at least.
 THIN = 3
 #: Bytes of benchmark window hashes up to which they go to every worker as a filter.
@@ -56,6 +61,9 @@ dollar dollars cent cents euro euros pound pounds yen kb mb gb tb""".split()
 _KIND = np.zeros(256, np.uint8)
 _KIND[textkit.WORD] = 1
 _KIND[48:58] = 2
+#: Whether two bytes are a capital letter.
+_CAPITAL = np.zeros(1 << 16, bool)
+_CAPITAL[[int.from_bytes(chr(c).encode(), "big") for c in range(0x80, 0x800) if chr(c).isupper()]] = True
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".!?\n"]] = True
 _JOIN = {2: np.zeros(256, bool), 3: np.zeros(256, bool)}
@@ -102,8 +110,8 @@ def readings(texts: pa.Array, named: list[bool]) -> list[tuple[np.ndarray, np.nd
     def names():
         lead = raw[starts]
         cap = (lead >= 65) & (lead <= 90)
-        two = np.flatnonzero((lead == 0xC3) & (starts + 1 < len(raw)))
-        cap[two] |= (raw[starts[two] + 1] >= 0x80) & (raw[starts[two] + 1] <= 0x9E)
+        two = np.flatnonzero((lead >= 0xC2) & (lead <= 0xDF) & (starts + 1 < len(raw)))
+        cap[two] |= _CAPITAL[lead[two].astype(np.int64) << 8 | raw[starts[two] + 1]]
         c = np.flatnonzero(cap & ~heads & (plain == 1))
         breaks = np.zeros(len(raw) + 1, np.int32)
         np.cumsum(_BREAK[raw], out=breaks[1:])
@@ -231,37 +239,56 @@ def _cut_windows(lengths: list[tuple[int, int]], known=None, thin: bool = False)
     return run
 
 
+def _copies(found: list[tuple]) -> Iterable[list[tuple]]:
+    copies = defaultdict(list)
+    for x in found:
+        copies[x[1] - x[0]].append(x)
+    return copies.values()
+
+
+def _agreeing(copy: list[tuple]) -> list[tuple]:
+    """The windows of one copy that don't contradict the mapping of slots that most have."""
+    votes: dict[int, Counter] = defaultdict(Counter)
+    for _, _, a, b in copy:
+        for x, y in {*zip(a, b)}:
+            votes[x][y] += 1
+    stands = {x: min(v, key=lambda y: (-v[y], y)) for x, v in votes.items()}
+    return [w for w in copy if all(stands[x] == y for x, y in zip(w[2], w[3]))]
+
+
 def consistent(found: list[tuple[int, int, list[int], list[int]]]) -> tuple[int, bool]:
     """(item position, document position, item's slot values, document's) of windows -> distinct item positions that count; whether slots differ."""
-    copies = defaultdict(list)
-    for ip, dp, a, b in found:
-        copies[dp - ip].append((ip, a, b))
     good, differs = set(), False
-    for windows_ in copies.values():
-        votes: dict[int, Counter] = defaultdict(Counter)
-        for _, a, b in windows_:
-            for x, y in {*zip(a, b)}:
-                votes[x][y] += 1
-        stands = {x: min(v, key=lambda y: (-v[y], y)) for x, v in votes.items()}
-        for ip, a, b in windows_:
-            if all(stands[x] == y for x, y in zip(a, b)):
-                good.add(ip)
-                differs |= any(x != y for x, y in zip(a, b))
+    for copy in _copies(found):
+        for ip, _, a, b in _agreeing(copy):
+            good.add(ip)
+            differs |= any(x != y for x, y in zip(a, b))
     return len(good), differs
 
 
 def in_one_copy(found: list[tuple[int, int, list[int], list[int]]]) -> tuple[int, bool]:
     """consistent() of the copy that has the most."""
-    copies = defaultdict(list)
-    for x in found:
-        copies[x[1] - x[0]].append(x)
-    return max((consistent(c) for c in copies.values()), key=lambda v: (v[0], not v[1]))
+    return max((consistent(c) for c in _copies(found)), key=lambda v: (v[0], not v[1]))
+
+
+def longest_run(found: list[tuple[int, int, list[int], list[int]]]) -> int:
+    """Item positions in a row, in one copy, of windows that agree with their copy."""
+    most = 0
+    for copy in _copies(found):
+        run, last = 0, None
+        for ip in sorted({w[0] for w in _agreeing(copy)}) if len(copy) > most else ():
+            run = run + 1 if last == ip - 1 else 1
+            most, last = max(most, run), ip
+    return most
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        verdicts = [(in_one_copy if s in WHOLE else consistent)([(x["ip"], x["dp"], x["a"], x["b"]) for x in r]) for s, r in zip(batch.column(4).to_pylist(), batch.column(6).to_pylist())]
-        yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(6)), pa.array([v[0] for v in verdicts], pa.int64()), pa.array([v[1] for v in verdicts], pa.bool_())], names=["doc_id", "k", "item_id", "ik", "series", "of_windows", "windows", "reworded"])
+        verdicts = []
+        for s, r in zip(batch.column(4).to_pylist(), batch.column(6).to_pylist()):
+            found = [(x["ip"], x["dp"], x["a"], x["b"]) for x in r]
+            verdicts.append((*(in_one_copy if s in WHOLE else consistent)(found), longest_run(found)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(6)), *(pa.array([v[j] for v in verdicts], t) for j, t in enumerate((pa.int64(), pa.bool_(), pa.int64())))], names=["doc_id", "k", "item_id", "ik", "series", "of_windows", "windows", "reworded", "run"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, filter_bytes: int = FILTER_BYTES, thin: bool = False) -> DataFrame:
@@ -269,7 +296,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     thin: whether to look for items without a window of LITERALS words too.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.xxhash64("text").alias("k"), "text").distinct()
+    items = common.picked(benchmark, "item_id", "text").select(F.col("item_id").alias("id"), F.xxhash64("text").alias("k"), "text").distinct()
     of = common.cut(items.mapInArrow(_cut_windows([], thin=thin), _WINDOWS))
     total = of.groupBy("id", "k", "series").agg(F.count("*").alias("of_windows"))
     lengths = sorted({tuple(r) for r in of.select("series", "n_tokens").distinct().collect()} or {(0, WINDOW)})
@@ -283,9 +310,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     theirs = of.select(F.col("id").alias("item_id"), F.col("k").alias("ik"), "series", "h", F.col("pos").alias("ip"), F.col("slots").alias("a"), "of_windows")
     pairs = mine.join(theirs, "h").groupBy("doc_id", F.col("dk").alias("k"), "item_id", "ik", "series", "of_windows").agg(F.collect_set(F.struct("ip", "dp", "a", "b")).alias("w"))
     enough = F.when(F.col("series").isin(*WHOLE), F.col("of_windows")).otherwise(F.lit(coverage) * F.col("of_windows"))
-    pairs = pairs.where(F.size("w") >= enough)
-    judged = pairs.mapInArrow(_judge, "doc_id long, k long, item_id long, ik long, series int, of_windows long, windows long, reworded boolean")
-    found = judged.where(F.col("windows") >= enough)
+    in_a_row = F.when(F.col("series").isin(*WHOLE), F.col("of_windows")).otherwise(F.lit(LONG - WINDOW + 1))
+    pairs = pairs.where(F.size("w") >= F.least(enough, in_a_row))
+    judged = pairs.mapInArrow(_judge, "doc_id long, k long, item_id long, ik long, series int, of_windows long, windows long, reworded boolean, run long")
+    found = judged.where((F.col("windows") >= enough) | (F.col("run") >= in_a_row))
     first = found.groupBy("doc_id", "k", "item_id", "ik").agg(F.min(F.struct("series", "windows", "of_windows", "reworded")).alias("x"))
     return first.select("doc_id", "k", "item_id", "x.windows", "x.of_windows", "x.reworded")
 

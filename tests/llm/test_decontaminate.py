@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from tarnsieve.llm import decontaminate as x
-from tests.llm.cases import LONG, docs, empty, prose, same_rows, weird
+from tests.llm.cases import LONG, docs, empty, odd_columns, prose, same_rows, weird
 
 ITEMS = "item_id long, text string, k string, h long"
 
@@ -136,3 +136,24 @@ def test_items_of_few_words(spark, tmp_path):
 def test_thin_templates_have_to_be_in_one_copy():
     found = [(0, 5, [1], [2]), (1, 6, [1], [2]), (2, 40, [1], [1])]
     assert x.consistent(found) == (3, True) and x.in_one_copy(found) == (2, True)
+
+
+def test_a_long_run_suffices(spark):
+    item = prose(3, 500)
+    words = item.split()
+    texts = [f"{prose(50, 20)} {' '.join(words[100 : 100 + n])} {prose(51, 20)}" for n in (100, x.LONG, x.LONG - 1)]
+    scattered = " ".join(" ".join([*words[i : i + 9], *prose(60 + i, 9).split()]) for i in range(0, 400, 20))
+    got = {(r.doc_id, r.windows) for r in x.contaminated(docs(spark, [*texts, scattered]), items(spark, [item])).collect()}
+    assert got == {(0, 93), (1, x.LONG - x.WINDOW + 1)}
+    assert x.longest_run([(0, 5, [], []), (1, 6, [], []), (2, 40, [], []), (4, 9, [], [])]) == 2
+
+
+def test_names_in_other_scripts():
+    assert [k for _, k, _ in tokens_of("the Ökonom met Иван and Ωμέγα at Žižkov with жена")] == [1, 3, 1, 3, 1, 3, 1, 3, 1, 1]
+
+
+def test_any_columns(spark):
+    d = odd_columns(spark, [(1, prose(1) + " " + prose(2)), (2, prose(5))])
+    bench = odd_columns(spark, [(7, prose(2))]).withColumnRenamed("doc_id", "item_id")
+    left = x.decontaminate(d, bench)
+    assert left.columns == d.columns and [r[0] for r in left.collect()] == [2]
