@@ -12,12 +12,15 @@ by a 64-bit hash of these tokens; each bucket is sorted, and prefixes that diffe
 hold them. So the result is that of one array, and no task has more than a slice or a bucket.
 
 Pages of one host with the same HTML are one page here: a copy isn't boilerplate, and each of its rows gets the same
-text. Hosts are compared in lower case without port and user.
+text. Of HTML that a host has several times one page goes into the slices; the ids of all are joined to its text
+afterwards, by a broadcast up to a counted size and a shuffle beyond. Hosts are compared in lower case without port and
+user.
 
 Nulls and cases: pages without a host in their URL, or without URL, share one host of their own, the empty string.
 Null or empty HTML has an empty text and no tokens. Unclosed comments and scripts run to the end of the page; a "<"
-that opens no tag is text. A page of fewer than RUN tokens is kept whole. Repeated rows come out as often. An empty
-table gives no rows. Columns other than page_id, url and html are ignored, whatever their names.
+that opens no tag is text. A page of fewer than RUN tokens is kept whole; one of any length is read whole, beyond a
+slice's size alone in a task's memory. Repeated rows come out as often; ties don't occur. A page_id that is no whole
+number is null. An empty table gives no rows. Columns other than page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -139,7 +142,7 @@ def _host() -> Column:
 
 def _prepared(pages: DataFrame) -> DataFrame:
     """page_id, host, u (identity of the HTML), html."""
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), _host().alias("host"), F.xxhash64("html").alias("u"), F.col("html").cast("string").alias("html"))
+    return common.picked(pages, "page_id", "url", "html").select("page_id", _host().alias("host"), F.xxhash64("html").alias("u"), F.col("html").cast("string").alias("html"))
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
@@ -221,17 +224,17 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist([{"host": group[0][0], "slice": int(s), "keys": packed_keys(np.unique(every[slices == s]))}], schema=pa.schema([_KEYS.field(0), _KEYS.field(2), _KEYS.field(3)]))
 
 
-_PACKED = pa.schema([("host", pa.string()), ("slice", pa.int64()), ("u", pa.list_(pa.int64())), ("page_id", pa.list_(pa.int64())), ("size", pa.list_(pa.int64())), ("z", pa.binary())])
+_PACKED = pa.schema([("host", pa.string()), ("slice", pa.int64()), ("u", pa.list_(pa.int64())), ("page_id", pa.list_(pa.int64())), ("many", pa.list_(pa.bool_())), ("size", pa.list_(pa.int64())), ("z", pa.binary())])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, slice, u, page_id, html -> the texts of a slice's pages, packed together."""
+    """host, slice, u, page_id, many, html -> the texts of a slice's pages, packed together."""
     for batch in batches:
-        u, ids = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        u, ids, many = (batch.column(j).to_pylist() for j in (2, 3, 4))
         out = []
         for host, slice_, rows in _by_slice(batch):
-            texts = [visible(batch.column(4)[i].as_py()).encode("utf-8", "replace") for i in rows]
-            out.append({"host": host, "slice": slice_, "u": [u[i] for i in rows], "page_id": [ids[i] for i in rows], "size": [len(t) for t in texts], "z": zstandard.compress(b"".join(texts), 3)})
+            texts = [visible(batch.column(5)[i].as_py()).encode("utf-8", "replace") for i in rows]
+            out.append({"host": host, "slice": slice_, "u": [u[i] for i in rows], "page_id": [ids[i] for i in rows], "many": [many[i] for i in rows], "size": [len(t) for t in texts], "z": zstandard.compress(b"".join(texts), 3)})
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_PACKED)
 
@@ -239,21 +242,21 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extracted(run: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches):
-            known = [unpacked_keys(r[6]) for r in group if r[2] == 0]
+            known = [unpacked_keys(r[7]) for r in group if r[2] == 0]
             mine = [r for r in group if r[2] == 1]
             if not mine:
                 continue
-            host, u, ids = group[0][0], [x for r in mine for x in r[3]], [x for r in mine for x in r[4]]
-            sizes = np.array([x for r in mine for x in r[5]], np.int64)
-            raw = np.frombuffer(b"".join(zstandard.decompress(r[6]) for r in mine), np.uint8)
+            host, u, ids, many = group[0][0], *([x for r in mine for x in r[j]] for j in (3, 4, 5))
+            sizes = np.array([x for r in mine for x in r[6]], np.int64)
+            raw = np.frombuffer(b"".join(zstandard.decompress(r[7]) for r in mine), np.uint8)
             group.clear()
             words = textkit.Words(raw, np.concatenate([[0], np.cumsum(sizes)]), ~_SPACE)
             out = covered(words.hashes(), words.first, np.array(u, np.int64), run, np.unique(np.concatenate(known)) if known else None)
             for lo in range(0, len(ids), 512):
                 part = range(lo, min(len(ids), lo + 512))
                 texts = [kept_text(words, out, i) for i in part]
-                columns = [pa.array([ids[i] for i in part], pa.int64()), pa.array([host] * len(part)), pa.array([t[0] for t in texts], pa.string()), pa.array([t[1] for t in texts], pa.int64()), pa.array([t[2] for t in texts], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "host", "text", "n_tokens", "n_removed"])
+                columns = [pa.array([ids[i] for i in part], pa.int64()), pa.array([host] * len(part)), pa.array([t[0] for t in texts], pa.string()), pa.array([t[1] for t in texts], pa.int64()), pa.array([t[2] for t in texts], pa.int64()), pa.array([u[i] if many[i] else None for i in part], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "host", "text", "n_tokens", "n_removed", "u"])
 
     return go
 
@@ -261,20 +264,36 @@ def _extracted(run: int):
 def extract(pages: DataFrame, run: int = RUN, slice_bytes: int = SLICE_BYTES, bucket_suffixes: int = BUCKET_SUFFIXES, limit: int = common.BROADCAST_BYTES) -> DataFrame:
     """page_id, host, text, n_tokens, n_removed: one row for each row of pages."""
     rows = _prepared(pages)
-    sizes = rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")).alias("b"))
+    # the HTML is read once for all that is counted
+    about = common.cut(rows.select("host", "u", F.col("html").isNull().alias("cn"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("size")))
+    sizes = about.groupBy("host").agg(F.sum("size").alias("b"))
     # a host has at most 1 byte a suffix, mostly six; there are at most total / slice_bytes such hosts
     big = common.cut(sizes.where(F.col("b") > slice_bytes).select(F.col("host").alias("big"), F.ceil(F.col("b") / slice_bytes).alias("slices"), F.greatest(F.lit(1), F.ceil(F.col("b") / 6 / bucket_suffixes)).alias("buckets")))
-    big = F.broadcast(big) if big.count() * 128 <= limit else big
-    placed = rows.join(big, F.col("host") == F.col("big"), "left")
+    # HTML that a host has several times: one page of it is worked on
+    copies = about.groupBy(F.col("host").alias("ch"), F.col("u").alias("cu"), "cn").agg(F.count("*").alias("n")).where("n > 1")
+    copies = common.cut(copies.select("ch", "cu", "cn"))
+    same = (F.col("host") == F.col("ch")) & (F.col("u") == F.col("cu")) & (F.col("html").isNull() == F.col("cn"))
+    several = not copies.isEmpty()
+    once = rows.withColumn("many", F.lit(False))
+    if several:
+        told = common.by_size(copies, 64, limit)
+        one = rows.join(told, same, "left_semi").groupBy("host", "u", F.col("html").isNull().alias("cn")).agg(F.first("html").alias("html"))
+        once = rows.join(told, same, "left_anti").withColumn("many", F.lit(False))
+        once = once.unionByName(one.select(F.lit(None).cast("long").alias("page_id"), "host", "u", "html", F.lit(True).alias("many")))
+    placed = once.join(common.by_size(big, 128, limit), F.col("host") == F.col("big"), "left")
     slice_ = F.coalesce(F.pmod(F.col("u"), F.col("slices")), F.lit(0)).cast("long").alias("slice")
     keys = placed.where("slices is not null").select("host", slice_, "buckets", "html").mapInArrow(_bucketed(run), "host string, bucket long, slice long, keys binary")
     known = keys.repartition("host", "bucket").sortWithinPartitions("host", "bucket").mapInArrow(_shared, "host string, slice long, keys binary")
-    none = F.array().cast("array<long>")
-    known = known.select("host", "slice", F.lit(0).alias("kind"), none.alias("u"), none.alias("page_id"), none.alias("size"), F.col("keys").alias("z"))
-    packed = placed.select("host", slice_, "u", "page_id", "html").mapInArrow(_packed, "host string, slice long, u array<long>, page_id array<long>, size array<long>, z binary")
-    packed = packed.select("host", "slice", F.lit(1).alias("kind"), "u", "page_id", "size", "z")
+    none, no = F.array().cast("array<long>"), F.array().cast("array<boolean>")
+    known = known.select("host", "slice", F.lit(0).alias("kind"), none.alias("u"), none.alias("page_id"), no.alias("many"), none.alias("size"), F.col("keys").alias("z"))
+    packed = placed.select("host", slice_, "u", "page_id", "many", "html").mapInArrow(_packed, "host string, slice long, u array<long>, page_id array<long>, many array<boolean>, size array<long>, z binary")
+    packed = packed.select("host", "slice", F.lit(1).alias("kind"), "u", "page_id", "many", "size", "z")
     together = packed.unionByName(known).repartition("host", "slice").sortWithinPartitions("host", "slice", "kind")
-    return together.mapInArrow(_extracted(run), "page_id long, host string, text string, n_tokens long, n_removed long")
+    out = together.mapInArrow(_extracted(run), "page_id long, host string, text string, n_tokens long, n_removed long, u long")
+    if several:
+        ids = common.cut(rows.join(told, same, "left_semi").select(F.col("host").alias("ih"), F.col("u").alias("iu"), F.col("page_id").alias("its"), F.lit(True).alias("told")))
+        out = out.join(common.by_size(ids, 96, limit), (F.col("host") == F.col("ih")) & (F.col("u") == F.col("iu")), "left").withColumn("page_id", F.when(F.col("told"), F.col("its")).otherwise(F.col("page_id")))
+    return out.select("page_id", "host", "text", "n_tokens", "n_removed")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 
 from tarnsieve.llm import host_suffixes as h
-from tests.llm.cases import same_rows
+from tests.llm.cases import odd_columns, same_rows
 
 PAGES = "page_id long, url string, html string, host string, slice long, u long"
 
@@ -67,3 +67,19 @@ def test_weird_rows(spark):
 def test_markup():
     assert h.visible('<p title="a>b">x</p><b>y</b>z<style>q</style>&lt;i&gt;').split() == ["x", "yz", "<i>"]
     assert h.visible("<" * 1000 + "a" * 10).endswith("a" * 10)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_copies_of_a_page(spark, limit):
+    """100,000 copies of one page are one page in one slice, and each keeps its id."""
+    error = "<p>" + " ".join(f"e{i}" for i in range(2_000)) + "</p>"
+    d = spark.range(100_000).selectExpr("id as page_id", "'http://hot/x' as url", f"'{error}' as html").union(spark.createDataFrame([(-1, "http://hot/y", "<p>" + " ".join(f"e{i}" for i in range(9)) + " own</p>"), (-2, "http://hot/z", None), (-3, "http://hot/z", ""), (None, "http://hot/z", None)], "page_id long, url string, html string"))
+    out = h.extract(d, limit=limit)
+    rows = {r.page_id: r for r in out.where("page_id < 5 or page_id is null").collect()}
+    assert out.count() == 100_004 and out.select("page_id").distinct().count() == 100_004
+    assert rows[-1].text == "own" and rows[3].n_removed == 9 and rows[-2].text == "" and set(rows) == {None, -3, -2, -1, 0, 1, 2, 3, 4}
+
+
+def test_any_columns(spark):
+    d = odd_columns(spark, [(1, "<p>x y</p>"), (2, "<p>x y</p>"), (None, None)]).withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "html").withColumnRenamed("source", "url")
+    assert sorted((r.text for r in h.extract(d).collect())) == ["", "x y", "x y"]
