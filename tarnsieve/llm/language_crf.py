@@ -6,16 +6,21 @@ stands; a lexicon has the LEXICON words most frequent in a language's training t
 of SLOTS rows with a weight for each language. Together with learned transition weights they make a chain over the words
 of a line; forward-backward gives each word's marginal probabilities, and the word gets the most probable language.
 
+Chains of more than PIECE words are cut into pieces that are worked on side by side: a piece's transfer matrix leads what
+comes in on its left to what goes out on its right, so marginals are those of the whole chain and a line of a million
+words takes no more steps than PIECE and the number of pieces.
+
 Training text is what labelled documents have: at most TRAIN_DOCS documents of each language (by the least hashes of
-their ids) go to the driver. Since documents have one language each, code-switched lines are made of pieces of documents
+their ids) go to the driver, of the TRAIN_LANGS languages with most documents. Since documents have one language each, code-switched lines are made of pieces of documents
 of different languages, beside lines left as they are; the likelihood of the lines is climbed with Adam, gradients by
 forward-backward. One part in HELD_OUT of the documents is kept apart and measured.
 
 Result: one row for each row of docs: doc_id; lang, the language with the largest sum of marginals; its share of that
 sum; n_words; and spans, an array of (first word, words, lang) of maximal runs of words of one language.
 
-Nulls and cases: a null or empty text, or one without words, has a null lang and share, no words and no spans. Documents
-without a label aren't learned from. With labels of one language only every word gets it; without any label lang, share
+Nulls and cases: a null or empty text, or one without words, has a null lang and share, no words and no spans. Texts are
+read whole, however long they or their lines are. A doc_id that is no whole number is null. Documents without a label
+aren't learned from. With labels of one language only every word gets it; without any label lang, share
 and spans are null. Equal sums go to the language whose name sorts first. Repeated rows come out as often; an empty table
 gives no rows. Columns other than doc_id, text and (for training) lang are ignored, whatever their names.
 """
@@ -36,6 +41,10 @@ from tarnsieve.llm import common, textkit
 SLOTS, LEXICON = 1 << 17, 400
 #: Labelled documents of each language that the field is fitted to at most; one part in HELD_OUT is only measured.
 TRAIN_DOCS, HELD_OUT = 150, 5
+#: Languages that are learned at most.
+TRAIN_LANGS = 200
+#: Words of a chain that are followed one after another.
+PIECE = 1024
 EPOCHS, BATCH, RATE, DECAY = 3, 64, 0.05, 1e-5
 #: Words whose scores a worker keeps at most before it begins anew.
 REMEMBERED = 1 << 19
@@ -86,35 +95,92 @@ def features(words: list[bytes], lexicons: list[set[bytes]]) -> tuple[np.ndarray
     return np.concatenate(slots)[order], np.searchsorted(owner[order], np.arange(n))
 
 
+def _pieces(chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """chain with chains of more than PIECE words cut; which pieces begin a chain."""
+    size = np.diff(chain)
+    n = np.maximum(1, -(-size // PIECE))
+    if not len(size) or n.max() == 1:
+        return chain, np.ones(len(size), bool)
+    first = np.zeros(int(n.sum()), bool)
+    lead = np.concatenate([[0], np.cumsum(n)[:-1]])
+    first[lead] = True
+    of = np.repeat(np.arange(len(n)), n)
+    return np.append(chain[:-1][of] + (np.arange(len(of)) - lead[of]) * PIECE, chain[-1]), first
+
+
 def marginals(scores: np.ndarray, trans: np.ndarray, start: np.ndarray, chain: np.ndarray, want_pairs: bool = False):
     """Of all words the languages' marginals; chain: where each chain begins, and the end. Also log Z and expected transitions if wanted."""
     n, k = scores.shape
+    whole, (chain, first) = chain, _pieces(chain)
     size = np.diff(chain)
     order = np.argsort(-size, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     lead, size = chain[:-1][order], size[order]
     top = scores.max(1, keepdims=True)
     e = np.exp(scores - top)
     t, s = np.exp(trans), np.exp(start)
     alpha, beta, scale = np.empty((n, k)), np.ones((n, k)), np.empty(n)
     longest = int(size[0]) if len(size) else 0
-    active = np.searchsorted(-size, -np.arange(longest), "left")  # chains with more words than i
+    active = np.searchsorted(-size, -np.arange(longest), "left")  # pieces with more words than i
+    into = np.tile(s, (len(order), 1))  # what stands before each piece's first word, by place in order
+    out = np.ones((len(order), k))  # what comes after its last
+    if not first.all():
+        # what a piece makes of each language before its first word
+        carry = np.tile(t, (len(order), 1, 1))
+        for i in range(longest):
+            at = lead[: active[i]] + i
+            c = (carry[: active[i]] if i == 0 else carry[: active[i]] @ t) * e[at][:, None, :]
+            carry[: active[i]] = c / c.sum((1, 2), keepdims=True)
+        before = None
+        for piece in range(len(order)):
+            at = place[piece]
+            if first[piece]:  # its first word has the start instead
+                before = None
+            if before is not None:
+                into[at] = before @ t
+            if piece + 1 < len(order) and not first[piece + 1]:
+                if before is None:
+                    a = s * e[lead[at]]
+                    for i in range(1, int(size[at])):
+                        a = (a / a.sum() @ t) * e[lead[at] + i]
+                else:
+                    a = before @ carry[at]
+                before = a / a.sum()
+        after = np.ones(k)
+        for piece in range(len(order) - 1, -1, -1):
+            at = place[piece]
+            last = piece + 1 == len(order) or first[piece + 1]
+            if last:
+                after = np.ones(k)
+            out[at] = after
+            if not first[piece]:
+                after = carry[at] @ after
+                after /= after.sum()
     for i in range(longest):
         at = lead[: active[i]] + i
-        a = (e[at] * s) if i == 0 else (alpha[at - 1] @ t) * e[at]
+        a = e[at] * into[: active[i]] if i == 0 else (alpha[at - 1] @ t) * e[at]
         z = a.sum(1)
         scale[at] = z
         alpha[at] = a / z[:, None]
+    ends = lead + size - 1
+    beta[ends] = out
     for i in range(longest - 1, 0, -1):
         at = lead[: active[i]] + i
-        beta[at - 1] = ((e[at] * beta[at]) @ t.T) / scale[at][:, None]
+        b = ((e[at] * beta[at]) @ t.T) / scale[at][:, None]
+        beta[at - 1] = b
     p = alpha * beta
     p /= p.sum(1, keepdims=True)
     if not want_pairs:
         return p
     later = np.ones(n, bool)
-    later[chain[:-1]] = False
+    later[whole[:-1]] = False
     j = np.flatnonzero(later)
-    pairs = (alpha[j - 1].T @ (e[j] * beta[j] / scale[j][:, None])) * t
+    each = alpha[j - 1][:, :, None] * t * (e[j] * beta[j])[:, None, :] if not first.all() else None
+    if each is not None:
+        pairs = (each / each.sum((1, 2), keepdims=True)).sum(0)
+    else:
+        pairs = (alpha[j - 1].T @ (e[j] * beta[j] / scale[j][:, None])) * t
     return p, float(np.log(scale).sum() + top.sum()), pairs
 
 
@@ -239,10 +305,13 @@ def fit(texts: list[str], labels: list[str], seed: int = 1, epochs: int = EPOCHS
 
 def train(docs: DataFrame, per_language: int = TRAIN_DOCS, seed: int = 1) -> Field | None:
     """Fits the field to at most per_language documents of each language of docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.xxhash64("text")).alias("h"), F.col("text").alias("text"))
-    rows = rows.where("lang is not null and text <> ''")
-    first = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_language)
-    few = F.broadcast(first.select(F.col("lang").alias("its"), F.col("h").alias("chosen")))  # at most per_language rows a language
+    p = common.Plain(docs)
+    rows = p.df.select(p.long("doc_id").alias("doc_id"), p.col("lang").cast("string").alias("lang"), p.col("text").alias("text"))
+    rows = rows.where("lang is not null and text <> ''").withColumn("h", F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")))
+    langs = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(TRAIN_LANGS)
+    first = rows.join(F.broadcast(langs.select(F.col("lang").alias("known"))), F.col("lang") == F.col("known"), "left_semi").select("lang", "h").distinct()
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_language)
+    few = F.broadcast(first.select(F.col("lang").alias("its"), F.col("h").alias("chosen")))  # at most per_language rows of each of TRAIN_LANGS languages
     got = rows.join(few, (F.col("lang") == F.col("its")) & (F.col("h") == F.col("chosen"))).groupBy("h", "lang").agg(F.min("text").alias("text")).orderBy("h", "lang").toArrow()
     return fit(got.column("text").to_pylist(), got.column("lang").to_pylist(), seed)
 
@@ -321,7 +390,7 @@ def _label(shared):
 def identify(docs: DataFrame, field: Field | None) -> DataFrame:
     """The languages of the words of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_label(shared), _SCHEMA)
+    return common.picked(docs, "doc_id", "text").mapInArrow(_label(shared), _SCHEMA)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

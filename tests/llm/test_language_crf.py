@@ -1,11 +1,12 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 
 from tarnsieve.llm import language_crf as l
-from tests.llm.cases import LONG, SCHEMA, empty, weird
+from tests.llm.cases import LONG, SCHEMA, empty, odd_columns, weird
 
 
 def test_forward_backward_against_enumeration():
@@ -25,6 +26,60 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(p, want) and np.allclose(pairs, want_pairs) and abs(log_z - want_z) < 1e-9
 
 
+def test_pieces_of_long_chains(monkeypatch):
+    r = np.random.default_rng(2)
+    scores, trans, start, chain = r.normal(size=(100, 3)) * 3, r.normal(size=(3, 3)), r.normal(size=3), np.array([0, 41, 42, 49, 99, 100])
+    want = l.marginals(scores, trans, start, chain, True)
+    for piece in (1, 2, 7, 8):
+        monkeypatch.setattr(l, "PIECE", piece)
+        got = l.marginals(scores, trans, start, chain, True)
+        assert np.allclose(want[0], got[0]) and np.allclose(want[2], got[2]) and np.isclose(want[1], got[1])
+
+
+def test_a_long_line_takes_few_steps():
+    f = field()
+    text = " ".join(language("xx", i, 1) for i in range(40)) * 400 + " " + language("yy", 1, 9).replace("\n", " ")
+    began = time.perf_counter()
+    ((_, _, n, spans),) = l.Labeller(f).label(pa.array([text], pa.large_string()))
+    assert time.perf_counter() - began < 10 and n > 190_000 and sum(s["n"] for s in spans) == n and spans[-1]["lang"] == "yy"
+
+
+def brute_query(field, rows):
+    """The query's rows by the chain's marginals of one line at a time, word by word."""
+    out = []
+    for i, text in rows:
+        sums, best = np.zeros(len(field.langs)), []
+        for line in l._lines(text or ""):
+            scores = np.array([field.weights[l.features([w], field.lexicons)[0]].sum(0) for w in line], float)
+            t, s = np.exp(field.trans), np.exp(field.start)
+            e = np.exp(scores - scores.max(1, keepdims=True))
+            a, b = [s * e[0]], [np.ones(len(s))]
+            for x in e[1:]:
+                a.append(a[-1] / a[-1].sum() @ t * x)
+            for x in e[:0:-1]:
+                b.append(t @ (x * b[-1] / b[-1].sum()))
+            p = np.array(a) * np.array(b[::-1])
+            p /= p.sum(1, keepdims=True)
+            sums += p.sum(0)
+            best += p.argmax(1).tolist()
+        spans = [(field.langs[y], len([*g])) for y, g in itertools.groupby(best)]
+        out.append((i, field.langs[int(sums.argmax())] if best else None, len(best), spans))
+    return out
+
+
+def test_query_against_brute_force(spark):
+    f = field()
+    rows = [(i, language(["xx", "yy", "zz"][i % 3], 70 + i, 2) + " " + language(["yy", "xx"][i % 2], 90 + i, 1)) for i in range(12)] + [(20, ""), (21, None), (22, "...")]
+    d = spark.createDataFrame([(i, t, "xx", "s", 0) for i, t in rows], SCHEMA)
+    got = [(r.doc_id, r.lang, r.n_words, [(s.lang, s.n) for s in r.spans]) for r in sorted(l.identify(d, f).collect(), key=lambda r: r.doc_id)]
+    assert got == brute_query(f, rows)
+
+
+def test_any_columns(spark):
+    d = odd_columns(spark, [(1, language("xx", 1, 2)), (2, None)])
+    assert l.identify(d, l.train(d)).count() == 2
+
+
 def language(name, seed, n):
     r = random.Random(seed)
     parts = {"xx": (["ka", "to", "mi"], ["ra", "no"]), "yy": (["str", "ven", "gru"], ["ich", "eit"]), "zz": (["éa", "ou", "ç"], ["tion", "eux"])}[name]
