@@ -8,18 +8,24 @@ convolution a sum of table look-ups in numpy; gradients flow through the places
 
 The label to be learned is "good to train on": quality 1 and toxic 0. The network is fitted on the driver to at most
 MAX_LABELLED labelled documents (by the least hashes of their ids), of which one part in HELD_OUT is kept apart: on it
-the threshold is set to the probability below which at most LOST of the good documents fall, but never above 0.5, so
-that good documents stay even where labels are few. All documents are scored.
+the threshold is chosen from both classes, as that which makes the share of bad documents kept and WORTH times the share
+of good ones lost least in sum, within BOUNDS, so that one odd document moves it little even where labels are few. All
+documents are scored.
 
 Nulls and cases: a null or empty text is one chunk of no bytes, gets whatever probability that has under the model
-learned, and is never kept. Labels that are null, or contradict each other for one doc_id, aren't learned from; rows
-that repeat count once. Without labels of both kinds there is nothing to learn: every probability is null and every
-document is kept. Other columns pass through filter_documents() and are ignored by scores().
+learned, and is never kept; a text of any length is covered to its end. Labels that are null, or contradict each other for
+one doc_id, aren't learned from; labels that repeat count once, and of several texts of one doc_id the least is learned
+from. A doc_id that is no whole number has no label and, in scores(), is null. Ties: a probability equal to the threshold
+is kept; of thresholds that are equally good the least is taken. Repeated rows are scored and kept alike. An empty table
+gives no rows. Without labels of both kinds there is nothing to learn: every probability is null and every document is
+kept. Other columns pass through filter_documents() and are ignored by scores(), whatever their names.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,12 +35,16 @@ from pyspark.sql import functions as F
 
 from tarnsieve.llm import common, textkit
 
-EMBED, FILTERS, WIDTH, HIDDEN = 8, 32, 7, 16
+EMBED, FILTERS, WIDTH, HIDDEN = 16, 48, 7, 32
 CHUNK = 512
 _HALF = CHUNK // 2
 #: Labelled documents that the network is fitted to at most; one part in HELD_OUT of them only sets the threshold.
 MAX_LABELLED, HELD_OUT = 4000, 5
-LOST, EPOCHS, BATCH, RATE, DECAY = 0.005, 24, 16, 4e-3, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 12, 16, 1.5e-2, 1e-4
+#: How much more a good document lost costs than a bad one kept, and where the threshold lies.
+WORTH, BOUNDS = 20, (0.05, 0.9)
+#: Threads that the driver fits with.
+THREADS = min(4, os.cpu_count() or 1)
 
 
 def padded(texts: list[bytes] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +82,7 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [self.embed, self.filters, self.w1, self.b1, self.w2, self.b2]
 
-    def convolve(self, data: np.ndarray, at: np.ndarray, places: bool = False):
+    def convolve(self, data: np.ndarray, at: np.ndarray, places: bool = False, pool: ThreadPoolExecutor | None = None):
         """The filters' maxima in each half chunk (halves, FILTERS), and where they are.
 
         Windows that would reach from one text's padding into the next text don't count.
@@ -81,12 +91,12 @@ class Network:
         tables = np.ascontiguousarray(np.einsum("be,wef->wbf", self.embed, self.filters))
         best = np.empty((halves, FILTERS), np.float32)
         where = np.empty((halves, FILTERS), np.int64) if places else None
-        step = 64  # half chunks at once: what is summed stays in the cache
-        total, part = (np.empty((step * _HALF, FILTERS), np.float32) for _ in range(2))
-        for lo in range(0, halves, step):
+        step = 24 if pool else 64  # half chunks at once: what is summed stays in the cache
+
+        def part(lo: int, total: np.ndarray, addend: np.ndarray) -> None:
             hi = min(halves, lo + step)
             n = (hi - lo) * _HALF
-            t, q = total[:n], part[:n]
+            t, q = total[:n], addend[:n]
             np.take(tables[0], data[lo * _HALF : lo * _HALF + n], axis=0, out=t, mode="clip")
             for j in range(1, WIDTH):
                 np.take(tables[j], data[lo * _HALF + j : lo * _HALF + j + n], axis=0, out=q, mode="clip")
@@ -99,6 +109,16 @@ class Network:
                 where[lo:hi] = a + np.arange(lo, hi)[:, None] * _HALF
             else:
                 cube.max(1, out=best[lo:hi])
+
+        def several(begins: range) -> None:
+            room = [np.empty((step * _HALF, FILTERS), np.float32) for _ in range(2)]
+            for lo in begins:
+                part(lo, *room)
+
+        if pool:
+            list(pool.map(several, [range(i * step, halves, THREADS * step) for i in range(THREADS)]))
+        else:
+            several(range(0, halves, step))
         return best, where
 
     def pooled(self, best: np.ndarray, at: np.ndarray):
@@ -123,9 +143,9 @@ class Network:
         best, _ = self.convolve(data, at)
         return 1 / (1 + np.exp(-self.head(self.pooled(best, at)[-1])[1].astype(np.float64)))
 
-    def gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    def gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray, pool: ThreadPoolExecutor | None = None) -> list[np.ndarray]:
         data, at = padded(texts)
-        best, where = self.convolve(data, at, True)
+        best, where = self.convolve(data, at, True, pool)
         c, rows, second, lead, n, doc = self.pooled(best, at)
         hidden, z = self.head(doc)
         dz = (1 / (1 + np.exp(-z)) - y) * weight / len(y)
@@ -162,29 +182,39 @@ def fit(texts: list[bytes], good: np.ndarray, seed: int = 1, epochs: int = EPOCH
     size = np.array([len(t) for t in texts])
     rounds = max(epochs, -(-epochs * 800 // len(train)) if len(train) < 800 else 0)
     steps = rounds * -(-len(train) // BATCH)
-    for _ in range(rounds):
-        mixed = r.permutation(train)
-        for lo in range(0, len(mixed), BATCH):
-            pick = mixed[lo : lo + BATCH]
-            pick = pick[np.argsort(size[pick])]
-            step += 1
-            rate = RATE * min(1.0, step / 50) * (1 - 0.95 * step / steps)
-            for i, g in enumerate(net.gradients([texts[x] for x in pick], good[pick], weight[pick])):
-                m[i] += 0.1 * (g - m[i])
-                v[i] += 0.001 * (g * g - v[i])
-                params[i] -= rate * (m[i] / (1 - 0.9**step) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8) + DECAY * params[i])
-    mine = held[good[held] == 1]
-    if len(mine):
-        p = np.sort(net.probabilities([texts[x] for x in mine]))
-        net.threshold = float(min(0.5, p[int(LOST * len(p))]))
+    with ThreadPoolExecutor(THREADS) as pool:
+        for _ in range(rounds):
+            mixed = r.permutation(train)
+            for lo in range(0, len(mixed), BATCH):
+                pick = mixed[lo : lo + BATCH]
+                pick = pick[np.argsort(size[pick])]
+                step += 1
+                rate = RATE * min(1.0, step / 50) * (1 - 0.95 * step / steps)
+                for i, g in enumerate(net.gradients([texts[x] for x in pick], good[pick], weight[pick], pool)):
+                    m[i] += 0.1 * (g - m[i])
+                    v[i] += 0.001 * (g * g - v[i])
+                    params[i] -= rate * (m[i] / (1 - 0.9**step) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8) + DECAY * params[i])
+    net.threshold = chosen_threshold(net.probabilities([texts[x] for x in held]), good[held] == 1)
     return net
 
 
+def chosen_threshold(p: np.ndarray, good: np.ndarray) -> float:
+    """Where bad documents kept and WORTH times the good ones lost, as shares, are least in sum."""
+    low, high = BOUNDS
+    some = np.unique(np.clip(np.concatenate([[low, 0.5], p]), low, high))
+    if not good.any() or good.all():
+        return 0.5
+    kept = 1 - np.searchsorted(np.sort(p[~good]), some) / (~good).sum()
+    lost = np.searchsorted(np.sort(p[good]), some) / good.sum()
+    return float(some[np.argmin(kept + WORTH * lost)])
+
+
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, seed: int = 1) -> Network | None:
     """Fits the network to at most limit labelled documents of docs."""
-    told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
+    p = common.Plain(labels)
+    told = p.df.select(p.long("doc_id").alias("doc_id"), ((p.col("quality") == 1) & (F.coalesce(p.col("toxic"), F.lit(0)) == 0)).alias("good"))
     told = told.where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min("good").alias("good"), F.max("good").alias("other")).where("good = other")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).alias("h"), "text").where("text <> ''")
+    texts = common.picked(docs, "doc_id", "text").where("text <> ''").withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
     ids = texts.select("doc_id", "h").join(told, "doc_id", "left_semi").distinct().orderBy("h", "doc_id").limit(limit)
     few = F.broadcast(ids.join(told, "doc_id").select("doc_id", "good"))  # at most limit rows
     rows = texts.join(few, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("good").alias("good"), F.min("h").alias("h")).orderBy("h", "doc_id").toArrow()
@@ -209,13 +239,10 @@ def _scorer(net: Network | None, spark: SparkSession):
     return score
 
 
-def _kept(p, text, net: Network | None):
-    return F.lit(True) if net is None else (p >= F.lit(net.threshold)) & (F.length(text) > 0)
-
-
 def scores(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, probability, keep: one row for each row of docs."""
-    rows = docs.select(F.col("doc_id"), F.length("text").alias("size"), _scorer(net, docs.sparkSession)("text").alias("probability"))
+    d = common.picked(docs, "doc_id", "text")
+    rows = d.select("doc_id", F.length("text").alias("size"), _scorer(net, docs.sparkSession)("text").alias("probability"))
     keep = F.lit(True) if net is None else (F.col("probability") >= F.lit(net.threshold)) & F.coalesce(F.col("size") > 0, F.lit(False))
     return rows.select("doc_id", "probability", keep.alias("keep"))
 
@@ -224,9 +251,9 @@ def filter_documents(docs: DataFrame, net: Network | None) -> DataFrame:
     """The rows of docs that are kept; columns as they are."""
     if net is None:
         return docs
-    p = common.free_name(docs, "quality_probability")
-    rows = docs.where(F.length("text") > 0).withColumn(p, _scorer(net, docs.sparkSession)("text"))
-    return rows.where(F.col(p) >= F.lit(net.threshold)).select(*[rows[c] for c in docs.columns])
+    p = common.Plain(docs)
+    rows = p.df.where(F.length(p.col("text")) > 0).withColumn("probability", _scorer(net, docs.sparkSession)(p.col("text")))
+    return p.back(rows.where(F.col("probability") >= F.lit(net.threshold)))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

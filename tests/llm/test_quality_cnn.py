@@ -1,7 +1,7 @@
 import numpy as np
 
 from tarnsieve.llm import quality_cnn as q
-from tests.llm.cases import empty, prose, weird
+from tests.llm.cases import empty, odd_columns, prose, weird
 
 
 def brute(net: q.Network, text: bytes) -> float:
@@ -89,3 +89,56 @@ def test_labels_that_teach_nothing(spark):
     assert q.train(d, labels([(6, 1, 0), (6, 0, 0)])) is None
     assert q.filter_documents(d, None).count() == d.count()
     assert {(r.probability, r.keep) for r in q.scores(d, None).collect()} == {(None, True)}
+
+
+def test_query_against_loops(spark):
+    """Probability and verdict of every row of the query by loops over all windows."""
+    texts, good = _labelled(30)
+    net = q.fit(texts, good, epochs=2)
+    rows = [(i, t.decode()) for i, t in enumerate([*texts[:3], *texts[-3:], b"", b"z" * 700, b"a"])] + [(50, None)]
+    got = {r.doc_id: (r.probability, r.keep) for r in q.scores(spark.createDataFrame(rows, "doc_id long, text string"), net).collect()}
+    for i, t in rows:
+        p = brute(net, (t or "").encode())
+        assert abs(got[i][0] - p) < 1e-5 and got[i][1] == (bool(t) and p >= net.threshold)
+
+
+def test_bad_documents_not_learned_from_are_rejected():
+    """Fitted on the labelled documents of even id of the largest table; those of odd id are judged."""
+    import pyarrow.parquet as pq
+
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pandas()
+    rows = pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pandas().merge(docs, on="doc_id").drop_duplicates("doc_id")
+    rows = rows[rows["text"].str.len() > 0]
+    good = (rows["quality"] == 1) & (rows["toxic"] == 0)
+    even = rows["doc_id"] % 2 == 0
+    net = q.fit([t.encode() for t in rows["text"][even]], good[even].to_numpy())
+    p = net.probabilities([t.encode() for t in rows["text"][~even]])
+    odd = rows[~even]
+    kept, fine = p >= net.threshold, good[~even].to_numpy()
+    assert kept[fine].mean() >= 0.985 and kept[~fine].mean() <= 0.2
+    assert kept[odd["toxic"].to_numpy() == 1].mean() <= 0.35 and kept[odd["quality"].to_numpy() == 0].mean() <= 0.15
+
+
+def test_threshold():
+    p, good = np.array([0.1, 0.2, 0.3, 0.6, 0.7, 0.8]), np.array([0, 0, 0, 1, 1, 1]) == 1
+    assert 0.3 < q.chosen_threshold(p, good) <= 0.6
+    # one odd good document of many doesn't open the gate
+    many = np.concatenate([p, np.full(300, 0.95), [0.01]]), np.concatenate([good, np.ones(301, bool)])
+    assert 0.3 < q.chosen_threshold(*many) <= 0.6
+    assert q.chosen_threshold(p, np.ones(6, bool)) == 0.5
+
+
+def test_threads_don_t_matter(monkeypatch):
+    texts, good = _labelled(12)
+    a = q.fit(texts, good, epochs=1)
+    monkeypatch.setattr(q, "THREADS", 1)
+    b = q.fit(texts, good, epochs=1)
+    assert all(np.array_equal(x, y) for x, y in zip(a.parameters(), b.parameters()))
+
+
+def test_any_columns(spark):
+    texts, good = _labelled(20)
+    d = odd_columns(spark, [(i, t.decode()) for i, t in enumerate(texts)] + [(None, None)])
+    net = q.train(d, spark.createDataFrame([(i, int(g), 0, 1) for i, g in enumerate(good)], "doc_id long, quality int, toxic int, `a.b` int"))
+    out = q.filter_documents(d, net)
+    assert out.columns == d.columns and out.dtypes == d.dtypes and 0 < out.count() < 41 and q.scores(d, net).count() == 41
