@@ -11,9 +11,10 @@ Result: one row for each row of docs: doc_id, source, the rules that the documen
 worst rule and that rule's shrunk rate, and keep, the host's verdict. Clean hosts keep even their failing documents;
 which of these to drop is for filters by document to say.
 
-Nulls and cases: rows without a source share one host of their own. A null or empty text fails "few-words" alone.
-Repeated rows count as often as they are there and come out as often. An empty table gives no rows. Other columns are
-ignored, whatever their names. Characters are counted, not bytes.
+Nulls and cases: rows without a source share one host of their own. A null or empty text fails "few-words" alone; texts
+are measured whole, however long. A doc_id that is no whole number is null. Ties: of rules with equal rates the one whose
+name sorts last is the worst. Repeated rows count as often as they are there and come out as often. An empty table gives
+no rows. Other columns are ignored, whatever their names. Characters are counted, not bytes.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ RULES = {
 def _measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"))
+    rows = common.picked(docs, "doc_id", "source", "text").select("doc_id", F.col("source").cast("string").alias("source"), text.alias("text"))
     rows = rows.withColumns({"n_words": F.regexp_count(text, F.lit(r"[^ \t\n\r\f]+")), "n_lines": F.size(lines), "n_distinct": F.size(F.array_distinct(lines))})
     return rows.select("doc_id", "source", *(F.expr(c).cast("int").alias(f"f{i}") for i, c in enumerate(RULES.values())))
 
@@ -75,7 +76,7 @@ def judge(docs: DataFrame) -> DataFrame:
     hosts = rows.groupBy("source").agg(F.count("*").alias("n"), *(F.sum(f"f{i}").alias(f"f{i}") for i in range(len(RULES))))
     failed = F.array_join(F.filter(F.array(*(F.when(F.col(f"f{i}") == 1, F.lit(n)) for i, n in enumerate(RULES))), lambda x: x.isNotNull()), ",")
     out = rows.select("doc_id", "source", failed.alias("failed"))
-    verdicts = _verdicts(hosts)
+    verdicts = common.by_size(common.cut(_verdicts(hosts)), 128)
     return out.join(verdicts, out["source"].eqNullSafe(verdicts["host"])).drop("host")
 
 

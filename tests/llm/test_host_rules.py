@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 from tarnsieve.llm import host_rules as h
-from tests.llm.cases import empty, prose, same_rows, weird
+from tests.llm.cases import empty, odd_columns, prose, same_rows, weird
 from tests.oracle import rows
 
 
@@ -42,3 +42,13 @@ def test_rules(spark, text, rule):
 def test_partitions_don_t_matter(spark):
     d = weird(spark)
     assert same_rows(h.judge(d), h.judge(d.repartition(6)))
+
+
+def test_any_columns(spark):
+    d = odd_columns(spark, [(1, prose(1)), (2, None), (None, prose(2) * 50)])
+    assert sorted(r.failed for r in h.judge(d).collect()) == ["", "", "few-words"]
+
+
+def test_ids_that_are_no_numbers(spark):
+    d = spark.createDataFrame([("x", prose(1), "s"), ("12", prose(2), "s")], "doc_id string, text string, source string")
+    assert sorted(str(r.doc_id) for r in h.judge(d).collect()) == ["12", "None"]
