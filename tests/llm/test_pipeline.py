@@ -3,7 +3,11 @@ import pytest
 
 from tarnsieve.llm import common, decontaminate, minhash, mixing, quality_cnn
 from tarnsieve.llm.queries import ORACLE_SQL, QUERIES
-from tests.llm.cases import empty, same_rows, weird
+from tests.llm.cases import SCHEMA, empty, odd_columns, prose, same_rows, weird
+from tests.llm.test_decontaminate import brute as brute_leaks
+from tests.llm.test_minhash import brute_components, jaccard
+from tests.llm.test_mixing import brute as brute_mix
+from tests.llm.test_quality_cnn import brute as loops
 from tests.oracle import DATA, same
 
 
@@ -42,7 +46,7 @@ def test_stages(spark):
     verdicts = quality_cnn.scores(before, quality_cnn.train(before, common.load(spark, DATA, "labels"))).collect()
     assert ids(after) == sorted(r.doc_id for r in verdicts if r.keep) and after.columns == before.columns
     before, after = out["near duplicates"]
-    gone = [i for g in minhash.near_duplicates(before).collect() for i in g.doc_ids if i != g.stays]
+    gone = [r.doc_id for r in minhash.near_duplicates(before).collect() if r.doc_id != r.class_id]
     assert sorted([*ids(after), *gone]) == ids(before)
     before, after = out["benchmark decontamination"]
     leaks = {r.doc_id for r in decontaminate.contaminated(before, common.load(spark, DATA, "benchmark")).collect()}
@@ -79,3 +83,42 @@ def test_weird_rows_go_through(spark, tmp_path):
 def test_shared_folder(spark):
     assert common.shared_dir(spark).startswith("file://")
     assert common.fresh_dir(spark, "x") != common.fresh_dir(spark, "x")
+
+
+def test_odd_columns_go_through(spark, tmp_path):
+    import shutil
+
+    for t in ("benchmark", "labels"):
+        shutil.copy(f"{DATA}/{t}.parquet", tmp_path)
+    docs = odd_columns(spark, [(i, prose(i)) for i in range(6)] + [(5, prose(5)), (None, None), (None, "")])
+    columns = docs.columns
+    for _, stage in p.STAGES:
+        docs = common.cut(stage(spark, docs, str(tmp_path)))
+    assert docs.columns == [*columns, "shard_id"]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() on a small corpus against plain Python: loops over windows, all pairs, dictionaries of windows, one flight a source."""
+    bench = [prose(900 + i, 25) for i in range(4)]
+    good = [prose(i, 40 + i % 30) for i in range(90)]
+    bad = [" ".join(w.upper() + "!!!" for w in prose(500 + i, 50).split()) for i in range(60)]
+    texts = good + bad + [good[i] for i in range(12)] + [good[20 + i] + " " + prose(700 + i, 2) for i in range(8)]
+    texts += [f"{prose(800 + i, 20)} {bench[i % 4]} {prose(850 + i, 20)}" for i in range(9)] + [prose(60, 40).replace(" ", "\n")]
+    rows = [(i, t, "en", ["a", "b", "c"][(i % 7 > 2) + (i % 7 > 5)], len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 90), 0) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, b) for i, b in enumerate(bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = common.load(spark, str(tmp_path), "documents")
+    net = quality_cnn.train(docs, common.load(spark, str(tmp_path), "labels"))
+    left = [r for r in rows if loops(net, r[1].encode()) >= net.threshold]
+    pairs = [(i, j) for i in range(len(left)) for j in range(i) if jaccard(left[i][1], left[j][1]) >= minhash.THRESHOLD]
+    left = [r for r, root in zip(left, brute_components(len(left), pairs)) if left[root] is r]
+    found = brute_leaks([r[1] for r in left], bench)
+    left = [r for i, r in enumerate(left) if i not in {d for d, _ in found}]
+    assert 60 < len(left) < 120 and len(found) == 9
+    frame = spark.createDataFrame(left, SCHEMA)
+    chosen = brute_mix([(r.u, r.s, r.tokens) for r in mixing._units(frame).collect()], None, mixing.SEED, mixing.CHUNK)
+    kept = {r.doc_id for r in mixing._units(frame).collect() if r.u in chosen}
+    out = p.run(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r)[:5] for r in out) == sorted(r for r in left if r[0] in kept)
+    assert {r.shard_id for r in out} == {0}  # far below the target
