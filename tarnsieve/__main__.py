@@ -29,9 +29,10 @@ def parser() -> argparse.ArgumentParser:
         if name == "init":
             s.add_argument("--force", action="store_true")
             continue
-        s.add_argument("--format", default={"report": "html"}.get(name, "text"))
         if name == "list-rules":
+            s.add_argument("--format", default="text", choices=["text", "json"])
             continue
+        s.add_argument("--format", default={"report": "html"}.get(name, "text"))
         s.add_argument("paths", nargs="*")
         s.add_argument("--include-ignored", action="store_true")
         if name != "baseline":
@@ -40,6 +41,11 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--fail-on", choices=["advisory", "warning", "error", "none"])
             for x in ("rules", "pillars", "without-rules", "without-pillars"):
                 s.add_argument(f"--{x}", type=_words, default=[])
+        if name in ("analyse", "report"):
+            s.add_argument("--interactive", action="store_true", help="HTML with a filter of findings")
+            s.add_argument("--editor", default="none", choices=[*sinks.EDITORS], help="HTML with links that open files there")
+        if name == "analyse":
+            s.add_argument("--generate-baseline", metavar="FILE", help="write the findings as reviewed")
         if name == "summary":
             s.add_argument("--top", type=int, default=10)
         if name in ("report", "baseline"):
@@ -47,6 +53,13 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def guard_baseline(a: argparse.Namespace) -> None:
+    """A baseline holds all findings there are, so nothing may have narrowed them."""
+    for given, what in ((a.baseline, "--baseline"), (a.diff, "--diff"), (a.rules or a.pillars or a.without_rules or a.without_pillars, "display filters")):
+        if given:
+            raise ValueError(f"--generate-baseline can't go with {what}")
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """0, or 1 if the gate fired, or 2 for diagnostics and wrong use."""
     a = parser().parse_args(argv)
@@ -62,18 +75,26 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         spark = spark or SparkSession.builder.appName("tarnsieve").getOrCreate()
         engine = Engine(spark, a.root, config)
         if a.command == "list-rules":
-            for r in engine.rules().orderBy("id").collect():
-                print(r.id, r.pillar, r.severity, r.confidence, r.title, sep="\t")
+            rules = engine.rules().orderBy("id").collect()
+            if a.format == "json":
+                print(sinks.as_rules_json(rules))
+            else:
+                for r in rules:
+                    print(r.id, r.pillar, r.severity, r.confidence, r.capability, r.title, sep="\t")
             return 0
         if a.command == "baseline":
             print(engine.write_baseline(a.out or "tarnsieve-baseline.json", a.paths or None))
             return 0
+        if getattr(a, "generate_baseline", None):
+            guard_baseline(a)
+            print(engine.write_baseline(a.generate_baseline, a.paths or None))
+            return 0
         for p in (*a.pillars, *a.without_pillars):
             if p not in PILLARS:
                 raise ValueError(f"no such pillar: {p}")
         display = {"rules": a.rules, "pillars": a.pillars, "without_rules": a.without_rules, "without_pillars": a.without_pillars}
         r = engine.analyse(a.paths or None, baseline=a.baseline, diff=a.diff, fail_on=a.fail_on, command=a.command, include_ignored=a.include_ignored, display=display)
-        out = (sinks.as_summary_json(r) if a.format == "json" else sinks.as_summary(r, a.top)) if a.command == "summary" else sinks.render(r, a.format)
+        out = (sinks.as_summary_json(r) if a.format == "json" else sinks.as_summary(r, a.top, a.paths)) if a.command == "summary" else sinks.render(r, a.format, getattr(a, "interactive", False), getattr(a, "editor", "none"), os.path.abspath(a.root))
     except (ValueError, OSError, RuntimeError) as e:
         print(e, file=sys.stderr)
         return 2

@@ -15,6 +15,10 @@ SCHEMA_ID = "tarnsieve.config.v1"
 _GATES = {"analyse": "advisory", "summary": "advisory", "report": "none", "dashboard": "none"}
 
 
+#: Lists that may stand at the top instead of in a section.
+_FLAT = ("select", "excludeRules", "ignorePaths", "acceptedAbbreviations")
+
+
 class ConfigError(ValueError):
     """A configuration that can't be used."""
 
@@ -109,10 +113,11 @@ def _strings(where: str, x: Any) -> list[str]:
 
 
 def alias(rule: str) -> str:
-    """A rule's id from one of its older spellings."""
-    if rule not in CATALOGUE:
-        rule = re.sub(r"^documentation\.", "docs.", rule)
-    return rule
+    """A rule's id from one of its other spellings: documentation for docs, and hyphens for dots."""
+    if rule in CATALOGUE:
+        return rule
+    docs = re.sub(r"^documentation[.-]", "docs.", rule)
+    return docs if docs in CATALOGUE else next((r for r in CATALOGUE if r.replace(".", "-") == rule), rule)
 
 
 @dataclass
@@ -125,6 +130,8 @@ class Config:
     abbreviations: list[str] = field(default_factory=list)
     secret_previews: list[str] = field(default_factory=list)
     gates: dict[str, str] = field(default_factory=dict)
+    #: The least Go version that the configuration is for; told, not enforced.
+    go_version: str | None = None
     select: list[str] | None = None
     pillars: list[str] | None = None
     exclude_rules: list[str] = field(default_factory=list)
@@ -146,15 +153,31 @@ class Config:
 
 def from_dict(data: dict) -> Config:
     """Fails on whatever isn't known: fields, rules, thresholds, options, pillars, severities, commands."""
-    data = _only("the configuration", data, {"schemaVersion", "paths", "rules", "allowlists", "selection", "minimumSeverity"})
+    data = _only("the configuration", data, {"schemaVersion", "paths", "rules", "allowlists", "selection", "minimumSeverity", *_FLAT, "sensitiveData", "minimumGoVersion"})
     if data.get("schemaVersion") not in (None, SCHEMA_ID):
         raise ConfigError(f"the schema is {data['schemaVersion']!r}, not {SCHEMA_ID!r}")
     c = Config()
-    c.ignore = _strings("paths.ignore", _only("paths", data.get("paths"), {"ignore"}).get("ignore"))
+    paths = _only("paths", data.get("paths"), {"ignore"})
     lists = _only("allowlists", data.get("allowlists"), {"acceptedAbbreviations", "secretPreviews"})
-    c.abbreviations, c.secret_previews = (_strings(f"allowlists.{k}", lists.get(k)) for k in ("acceptedAbbreviations", "secretPreviews"))
-    selection = _only("selection", data.get("selection"), {"rules", "pillars", "excludeRules", "excludePillars"})
-    c.select, c.exclude_rules = ([alias(r) for r in _strings(f"selection.{k}", selection.get(k))] for k in ("rules", "excludeRules"))
+    secret = _only("sensitiveData", data.get("sensitiveData"), {"previewAllowlist"})
+    selection = _only("selection", data.get("selection"), {"tiers", "rules", "pillars", "excludeRules", "excludePillars"})
+    _strings("selection.tiers", selection.get("tiers"))  # names kept for later, without effect
+    c.go_version = data.get("minimumGoVersion")
+    if c.go_version is not None:
+        c.go_version = f"{c.go_version:g}" if isinstance(c.go_version, float) else c.go_version
+        if not isinstance(c.go_version, str) or not re.fullmatch(r"\d+(?:\.\d+){0,2}", c.go_version):
+            raise ConfigError("minimumGoVersion must be a version")
+
+    def merged(flat: str, where: str, inner: dict, key: str) -> list[str]:
+        """A list that may be given at the top, in its section, or in parts in both."""
+        top = secret.get("previewAllowlist") if flat == "previewAllowlist" else data.get(flat)
+        return sorted({*_strings(flat, top), *_strings(f"{where}.{key}", inner.get(key))})
+
+    c.ignore = merged("ignorePaths", "paths", paths, "ignore")
+    c.abbreviations = merged("acceptedAbbreviations", "allowlists", lists, "acceptedAbbreviations")
+    c.secret_previews = merged("previewAllowlist", "allowlists", lists, "secretPreviews")
+    c.select = [alias(r) for r in merged("select", "selection", selection, "rules")]
+    c.exclude_rules = [alias(r) for r in merged("excludeRules", "selection", selection, "excludeRules")]
     c.pillars, c.exclude_pillars = (_strings(f"selection.{k}", selection.get(k)) for k in ("pillars", "excludePillars"))
     for r in (*c.select, *c.exclude_rules):
         if r not in CATALOGUE:

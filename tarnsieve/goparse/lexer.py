@@ -31,6 +31,8 @@ class GoSyntaxError(Exception):
     def __init__(self, line: int, column: int, message: str):
         super().__init__(f"{line}:{column}: {message}")
         self.line, self.column, self.message = line, column, message
+        #: All errors of the file, this one first.
+        self.all = [self]
 
 
 @dataclass(slots=True)

@@ -5,9 +5,12 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
-from tarnsieve.goparse.lexer import CommentGroup, Source, Token, scan
+from tarnsieve.goparse.lexer import CommentGroup, GoSyntaxError, Source, Token, scan
 
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 100_000))
+
+#: Levels of nesting beyond which a file is refused, and errors after which the rest of a file is left alone.
+MAX_DEPTH, MAX_ERRORS = 10_000, 10
 
 #: kind -> its parts in source order, which is the order of walks.
 PARTS = {
@@ -72,7 +75,7 @@ class Parser:
     def __init__(self, source: Source):
         self.source = source
         self.tokens, self.groups = scan(source)
-        self.i, self.level = 0, 0
+        self.i, self.level, self.depth = 0, 0, 0
         self.tok: Token = self.tokens[0]
         self.last_end = 0
 
@@ -92,6 +95,11 @@ class Parser:
         got = "newline" if self.tok.text == "\n" else self.tok.text or self.tok.kind
         raise self.source.fail(self.tok.pos, f"expected {wanted}, found {got!r}")
 
+    def enter(self) -> None:
+        self.depth += 1
+        if self.depth > MAX_DEPTH:
+            raise self.source.fail(self.tok.pos, "exceeded max nesting depth")
+
     def expect(self, kind: str) -> Token:
         if self.tok.kind != kind:
             self.fail(f"'{kind}'")
@@ -128,21 +136,39 @@ class Parser:
             decls.append(d)
             imports += d.Specs
             self.semicolon()
-        while self.tok.kind != "EOF":
+        errors: list[GoSyntaxError] = []
+        while self.tok.kind != "EOF" and len(errors) <= MAX_ERRORS:
             if self.got(";"):
                 continue
-            if self.tok.kind == "func":
-                decls.append(self.func_decl())
-            elif self.tok.kind in ("const", "var", "type"):
-                decls.append(self.declaration())
-            elif self.tok.kind == "import":
-                raise self.source.fail(self.tok.pos, "imports must appear before other declarations")
-            else:
-                raise self.source.fail(self.tok.pos, "non-declaration statement outside function body")
-            if self.tok.kind != "EOF":
-                self.expect(";")
+            try:
+                decls.append(self.top_level())
+                if self.tok.kind != "EOF":
+                    self.expect(";")
+            except GoSyntaxError as e:
+                if not errors or errors[-1].line != e.line:  # a second one of a line most often comes from the first
+                    errors.append(e)
+                self.resume()
+        if errors:
+            errors[0].all = errors
+            raise errors[0]
         return Node("File", 0, len(self.source.text), Doc=doc, Name=name, Decls=decls, Imports=imports, Comments=self.groups)
 
+    def top_level(self) -> Node:
+        if self.tok.kind == "func":
+            return self.func_decl()
+        if self.tok.kind in ("const", "var", "type"):
+            return self.declaration()
+        raise self.source.fail(self.tok.pos, "imports must appear before other declarations" if self.tok.kind == "import" else "non-declaration statement outside function body")
+
+    def resume(self) -> None:
+        """After an error: on to the next declaration that begins a line."""
+        self.level = self.depth = 0
+        begins = ("func", "const", "var", "type")
+        if self.tok.kind not in begins and self.tok.kind != "EOF":
+            self.next()
+        while self.tok.kind != "EOF" and not (self.tok.kind in begins and self.source.column(self.tok.pos) == 1):
+            self.next()
+
     def declaration(self) -> Node:
         kind = self.tok.kind
         return self.gen_decl(kind, self.type_spec if kind == "type" else self.value_spec)
@@ -340,6 +366,12 @@ class Parser:
     # types
 
     def type(self) -> Node:
+        self.enter()
+        x = self.type_of()
+        self.depth -= 1
+        return x
+
+    def type_of(self) -> Node:
         k, pos = self.tok.kind, self.tok.pos
         if k == "ident":
             return self.type_name()
@@ -484,18 +516,24 @@ class Parser:
     def unary(self) -> Node:
         k, pos = self.tok.kind, self.tok.pos
         if k in ("+", "-", "!", "^", "&", "~"):
+            self.enter()
             self.next()
             x = self.unary()
+            self.depth -= 1
             return Node("UnaryExpr", pos, x.end, Op=k, X=x)
         if k == "<-":
             if self.peek() == "chan":
                 return self.primary(self.type())
+            self.enter()
             self.next()
             x = self.unary()
+            self.depth -= 1
             return Node("UnaryExpr", pos, x.end, Op=k, X=x)
         if k == "*":
+            self.enter()
             self.next()
             x = self.unary()
+            self.depth -= 1
             return Node("StarExpr", pos, x.end, X=x)
         return self.primary(self.operand())
 
@@ -506,10 +544,12 @@ class Parser:
         if k in _LITERALS:
             return self.literal()
         if k == "(":
+            self.enter()
             self.next()
             level, self.level = self.level, max(self.level, 0) + 1
             x = self.expr()
             self.level = level
+            self.depth -= 1
             self.expect(")")
             return Node("ParenExpr", pos, self.last_end, X=x)
         if k == "func":
@@ -538,7 +578,9 @@ class Parser:
                     sel = self.ident()
                     x = Node("SelectorExpr", x.pos, sel.end, X=x, Sel=sel)
             elif k == "[":
+                self.enter()
                 x = self.index_or_slice(x)
+                self.depth -= 1
             elif k == "(":
                 x = self.call(x)
             elif k == "{" and self.literal_type(x):
@@ -581,6 +623,7 @@ class Parser:
         return Node("IndexExpr", x.pos, self.last_end, X=x, Index=parts[0])
 
     def call(self, fun: Node) -> Node:
+        self.enter()
         self.expect("(")
         level, self.level = self.level, max(self.level, 0) + 1
         args = []
@@ -590,10 +633,12 @@ class Parser:
             if not self.got(","):
                 break
         self.level = level
+        self.depth -= 1
         self.expect(")")
         return Node("CallExpr", fun.pos, self.last_end, Fun=fun, Args=args)
 
     def composite(self, typ: Node | None) -> Node:
+        self.enter()
         open_ = self.expect("{").pos
         level, self.level = self.level, 0
         elts = []
@@ -606,6 +651,7 @@ class Parser:
             if not self.got(","):
                 break
         self.level = level
+        self.depth -= 1
         close = self.tok.pos
         self.expect("}")
         return Node("CompositeLit", typ.pos if typ else open_, self.last_end, Type=typ, Elts=elts, Lbrace=open_, Rbrace=close)
@@ -616,8 +662,10 @@ class Parser:
     # statements
 
     def block(self) -> Node:
+        self.enter()
         pos = self.expect("{").pos
         stmts = self.stmt_list()
+        self.depth -= 1
         close = self.tok.pos
         self.expect("}")
         return Node("BlockStmt", pos, self.last_end, List=stmts, Lbrace=pos, Rbrace=close)
@@ -707,6 +755,7 @@ class Parser:
         return s.X
 
     def if_stmt(self) -> Node:
+        self.enter()
         pos = self.expect("if").pos
         level, self.level = self.level, -1
         init = cond = None
@@ -727,6 +776,7 @@ class Parser:
                 other = self.block()
             else:
                 self.fail("if statement or block")
+        self.depth -= 1
         return Node("IfStmt", pos, self.last_end, Init=init, Cond=cond, Body=body, Else=other)
 
     def switch_stmt(self) -> Node:
@@ -805,7 +855,10 @@ class Parser:
 
 
 def parse(text: str) -> tuple[Node, Source, list[Token]]:
-    """The File node, its source and tokens. Raises GoSyntaxError at the first error."""
+    """The File node, its source and tokens. Raises GoSyntaxError for the first error, which names all of them."""
     source = Source(text)
     p = Parser(source)
-    return p.file(), source, p.tokens
+    try:
+        return p.file(), source, p.tokens
+    except RecursionError:
+        raise source.fail(p.tok.pos, "exceeded max nesting depth") from None

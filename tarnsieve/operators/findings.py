@@ -13,16 +13,31 @@ _ESCAPED = {chr(c): f"\\u{c:04x}" for c in (0x3C, 0x3E, 0x26, 0x2028, 0x2029)}
 _CONTROL = ["000B", "000E", "000F", *(f"001{x}" for x in "ABCDEF")]
 
 
+def _escaped(json: Column) -> Column:
+    """json with the escapes of a strict writer; nearly all texts end after one look or three replacements."""
+    common = json
+    for a, b in _ESCAPED.items():
+        if ord(a) < 128:
+            common = F.replace(common, F.lit(a), F.lit(b))
+    rare = common
+    for a, b in _ESCAPED.items():
+        if ord(a) >= 128:
+            rare = F.replace(rare, F.lit(a), F.lit(b))
+    for x in _CONTROL:
+        # not where the backslash is itself escaped
+        rare = F.regexp_replace(rare, rf"(?<!\\)((?:\\\\)*)\\u{x}", rf"$1\\u{x.lower()}")
+    odd = json.contains("\\u00") | json.contains("\u2028") | json.contains("\u2029")
+    plain = ~(json.contains("<") | json.contains(">") | json.contains("&"))
+    return F.when(odd, rare).when(plain, json).otherwise(common)
+
+
 def fingerprint() -> Column:
     """The first 16 hex digits of SHA-256 of a finding's identity as compact JSON; severity and metadata aren't part of it."""
     number = lambda c: F.coalesce(F.col(c), F.lit(0))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     identity = F.struct(text("rule_id").alias("ruleId"), text("file").alias("file"), number("line").alias("line"), number("col").alias("column"), number("end_line").alias("endLine"), text("symbol").alias("symbol"), text("message").alias("message"))
-    json = F.to_json(identity)
-    for a, b in _ESCAPED.items():
-        json = F.replace(json, F.lit(a), F.lit(b))
-    for x in _CONTROL:
-        json = F.replace(json, F.lit(f"\\u{x}"), F.lit(f"\\u{x.lower()}"))
+    # an array of one: what makes the text isn't copied into every condition
+    json = F.get(F.transform(F.array(F.to_json(identity)), _escaped), F.lit(0))
     return F.substring(F.sha2(json, 256), 1, 16)
 
 

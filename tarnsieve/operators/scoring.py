@@ -83,6 +83,13 @@ def exit_code(findings: DataFrame, diagnostics: int, fail_on: str) -> DataFrame:
     return findings.agg(F.coalesce(F.max(F.when(hit, 1).otherwise(0)), F.lit(0)).alias("exit_code"))
 
 
+def exit_codes(findings: DataFrame, gates: list[str]) -> DataFrame:
+    """fail_on, exit_code of several gates by one aggregate over the findings."""
+    rank = F.coalesce(F.max(schema.severity_rank(F.col("severity"))), F.lit(-1))
+    codes = [F.struct(F.lit(g).alias("fail_on"), F.when(F.lit(g != "none") & (F.col("rank") >= schema.RANK.get(g, 0)), 1).otherwise(0).alias("exit_code")) for g in gates]
+    return findings.agg(rank.alias("rank")).select(F.explode(F.array(*codes)).alias("c")).select("c.fail_on", "c.exit_code")
+
+
 def displayed(findings: DataFrame, rules=(), pillars=(), without_rules=(), without_pillars=()) -> DataFrame:
     """Findings that a display filter leaves; it never takes part in scores."""
     x = findings

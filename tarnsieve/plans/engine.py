@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
+import time
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -17,24 +16,8 @@ from tarnsieve.functions.paths import path_regex
 from tarnsieve.operators import composites, findings as fnd, packages, scoring, secrets, suppression
 from tarnsieve.plans import parse
 from tarnsieve.rules.base import CATALOGUE
-from tarnsieve.sources import baselines, patches, tree
-
-
-def persist(df: DataFrame) -> DataFrame:
-    """df cut off by checkpoint() in the folder that executors share: it outlives them, and nothing is made twice.
-
-    The folder is spark.checkpoint.dir; only a local session that names none gets one of its own.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not named:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            named = "file://" + os.path.join(tempfile.mkdtemp(prefix="tarnsieve-"), uuid.uuid4().hex)
-        sc.setCheckpointDir(named)
-    return df.checkpoint(True)
+from tarnsieve.shared import cut as persist
+from tarnsieve.sources import baselines, patches, storage, tree
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -84,7 +67,8 @@ def analyse_files(files: DataFrame, config: Config | None = None) -> tuple[DataF
         o = options[composites.HOTSPOT.id]
         more.append(composites.hotspots(base, o.threshold("minFindings"), o.threshold("minPillars")))
     findings = base.unionByName(fnd.enrich(_union(more), rules)) if more else base
-    diagnostics = parsed.where("error is not null").select(F.lit("parse").alias("stage"), F.col("error.message").alias("message"), F.col("path").alias("file"), F.col("error.line").alias("line"), F.col("error.col").alias("col"), F.lit("error").alias("severity"))
+    wrong = parsed.where("error is not null").select("path", F.explode("errors").alias("e"))
+    diagnostics = wrong.select(F.lit("parse").alias("stage"), F.col("e.message").alias("message"), F.col("path").alias("file"), F.col("e.line").alias("line"), F.col("e.col").alias("col"), F.lit("error").alias("severity"))
     return findings, diagnostics, parsed
 
 
@@ -105,6 +89,7 @@ class Report:
     score: dict = field(default_factory=dict)
     baseline: dict | None = None
     diff: dict | None = None
+    seconds: float = 0.0
 
 
 class Engine:
@@ -113,6 +98,7 @@ class Engine:
 
     def analyse(self, inputs: list[str] | None = None, *, baseline: str | None = None, diff: str | None = None, fail_on: str | None = None, command: str = "analyse", include_ignored: bool = False, display: dict | None = None) -> Report:
         """Discovery, parsing, rules, baseline, changed lines, scores, gate, display filter, in this order."""
+        began = time.monotonic()
         for kind, known in (("rules", CATALOGUE), ("without_rules", CATALOGUE)):
             for r in (display or {}).get(kind, ()):
                 if r not in known:
@@ -145,7 +131,14 @@ class Engine:
         code = scoring.exit_code(findings, diagnostics.limit(1).count(), fail_on or self.config.fail_on(command)).first()[0]
         shown = scoring.displayed(findings, **(display or {}))
         counts = {r.severity: r.n for r in scoring.severity_counts(findings).collect()}
-        return Report(findings, shown, diagnostics, len(found.files), sorted(found.skipped), sorted(found.missing), code, sorted(self.config.active()), inputs or ["."], counts, score, said_baseline, said_diff)
+        return Report(findings, shown, diagnostics, len(found.files), sorted(found.skipped), sorted(found.missing), code, sorted(self.config.active()), inputs or ["."], counts, score, said_baseline, said_diff, time.monotonic() - began)
+
+    def stored(self, uri: str, include_ignored: bool = False) -> dict[str, DataFrame]:
+        """findings, diagnostics, files and skipped of a tree on storage that all executors reach, as tables: nothing is walked or gathered here."""
+        files, skipped = storage.discover(self.spark, uri, self.config.ignore, include_ignored)
+        files = persist(files)
+        findings, diagnostics, _ = analyse_files(files, self.config)
+        return {"findings": findings, "diagnostics": diagnostics, "files": files.select("path", "type"), "skipped": skipped}
 
     def _modules(self, found: tree.Found) -> DataFrame:
         """Versions of module files in the folders of Go files and above, up to the root."""
@@ -173,7 +166,7 @@ class Engine:
     def rules(self) -> DataFrame:
         """The catalogue as configured."""
         active = self.config.active()
-        rows = [(r.id, r.pillar, self.config.severities.get(r.id, r.severity), r.confidence, r.title, r.id in active, {k: float(v) for k, v in r.thresholds.items()}, list(r.tags)) for r in sorted(CATALOGUE.values(), key=lambda r: r.id)]
-        return self.spark.createDataFrame(rows, "id string, pillar string, severity string, confidence string, title string, enabled boolean, thresholds map<string,double>, tags array<string>")
+        rows = [(r.id, r.pillar, self.config.severities.get(r.id, r.severity), r.confidence, r.title, r.id in active, {k: float(v) for k, v in r.thresholds.items()}, list(r.tags), r.capability, list(r.secondary), r.remediation) for r in sorted(CATALOGUE.values(), key=lambda r: r.id)]
+        return self.spark.createDataFrame(rows, "id string, pillar string, severity string, confidence string, title string, enabled boolean, thresholds map<string,double>, tags array<string>, capability string, secondary_pillars array<string>, remediation string")
 
 

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnsieve.goparse.syntax import MAX_DEPTH
 from tarnsieve.operators import packages
+from tarnsieve.operators.findings import fingerprint
 from tarnsieve.plans import parse
-from tarnsieve.plans.engine import persist
-from tarnsieve.plans.views import table
+from tarnsieve.plans.snippets import SNIPPETS, source_of
+from tarnsieve.plans.views import FINGERPRINT_SQL, table
 from tarnsieve.rules.base import CATALOGUE, Options
+from tarnsieve.shared import cut as persist
 
 GO_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 GO_SQL: dict[str, str] = {}
@@ -42,91 +45,31 @@ def go_metrics(spark, d):
     return parse.raw_findings(parse.parsed(files, rules)).select("file", "rule_id", "metric")
 
 
-#: (kind of file, imports, body of a function or whole declarations, rules that must find something in it)
-SNIPPETS: list[tuple[str, str, str, str]] = [
-    ("go", "os/exec", 'func f() { exec.Command("/bin/bash", "-c", s) }', "security.shell-command"),
-    ("go", "os/exec", 'func f() { exec.Command("git", "-c", s) }', ""),
-    ("go", "x:os/exec", 'func f() { x.CommandContext(ctx, "sh", "-lc", s) }', "security.shell-command"),
-    ("go", "crypto/tls", "var c = tls.Config{InsecureSkipVerify: true}", "security.tls-insecure-config"),
-    ("go", "crypto/tls", "var c = tls.Config{MinVersion: tls.VersionTLS12}", ""),
-    ("go", "net/http", "var c = http.Client{}", "security.http-client-no-timeout"),
-    ("go", "net/http", "var c = &http.Client{Timeout: t}", ""),
-    ("go", "net/http", 'func f() { http.ListenAndServe(":1", nil) }', "security.http-server-no-timeout"),
-    ("go", "os", 'func f() { os.OpenFile("x", os.O_CREATE|os.O_WRONLY, 0777) }', "security.permissive-file-mode"),
-    ("go", "os", 'func f() { os.OpenFile("x", os.O_RDONLY, 0777) }', ""),
-    ("go", "os", 'func f() { os.MkdirAll("x", 0o755) }', ""),
-    ("go", "net/http,io", "func f(out http.ResponseWriter, in *http.Request) { b, _ := io.ReadAll(in.Body) }", "security.request-body-without-limit"),
-    ("go", "net/http,io", "func f(out http.ResponseWriter, in *http.Request) { in.Body = http.MaxBytesReader(out, in.Body, 9); b, _ := io.ReadAll(in.Body) }", ""),
-    ("go", "fmt", 'func f() { q := fmt.Sprintf("SELECT %s", x); db.Query(q) }', "security.sql-string-query"),
-    ("go", "fmt", 'func f() { db.Query("SELECT ?", x) }', ""),
-    ("go", "archive/zip,path/filepath", "func f() { p := filepath.Join(d, e.Name); open(p) }", "security.archive-path-traversal"),
-    ("go", "archive/zip,path/filepath", "func f() { p := filepath.Join(d, e.Name); if isWithin(d, p) { open(p) } }", ""),
-    ("go", "math/rand", "func newToken() int { return rand.Intn(9) }", "security.insecure-random-secret"),
-    ("go", "math/rand", "func roll() int { return rand.Intn(6) }", ""),
-    ("go", "crypto/md5", "func f() { passwordHash := md5.Sum(b) }", "security.weak-crypto"),
-    ("go", "crypto/md5", "func f() { etag := md5.Sum(b) }", ""),
-    ("go", "crypto/rsa", "func f() { rsa.GenerateKey(r, 1024) }", "security.weak-crypto"),
-    ("go", "context", "func f() { g(context.TODO()) }", "maintainability.context-todo-production"),
-    ("go", "", "func f() { for { defer g() } }", "maintainability.defer-in-loop"),
-    ("go", "", "func f() { for { func() { defer g() }() } }", ""),
-    ("go", "", "func f() { _ = readErr }", "maintainability.ignored-error"),
-    ("go", "log", 'func f() { log.Fatalf("x") }', "maintainability.log-fatal-library"),
-    ("go", "", "func f() []*T { for _, v := range xs { out = append(out, &v) } }", "maintainability.loop-variable-address"),
-    ("go", "", 'func f() { panic("no") }', "maintainability.production-panic"),
-    ("go", "", '// MustF is.\nfunc MustF() { panic("no") }', ""),
-    ("go", "io/ioutil", 'func f() { ioutil.ReadFile("x") }', "modernisation.ioutil-deprecated"),
-    ("go", "", "func f() { if a { } }", "dead-code.empty-block"),
-    ("go", "", "func f() { if a { b() } else { } }", ""),
-    ("go", "", "func f() { return; g() }", "dead-code.unreachable-code"),
-    ("go", "", "func f() { goto l; l: g() }", ""),
-    ("test", "testing", "func TestA(q *testing.T) { }", "test-quality.empty-test"),
-    ("test", "testing", "func TestA(q *testing.T) { g() }", "test-quality.no-failure-path"),
-    ("test", "testing", 'func TestA(q *testing.T) { q.Run("x", func(q *testing.T) { q.Fatal(1) }) }', ""),
-    ("test", "testing", "func TestA(x *testing.T) { func(x int) { x.Fatal(1) }(2) }", "test-quality.no-failure-path"),
-    ("test", "testing", "func need(q testing.TB) { q.Fatal(1) }", "test-quality.helper-missing-t-helper"),
-    ("test", "testing", "func need(q testing.TB) { q.Helper(); q.Fatal(1) }", ""),
-    ("test", "testing", "func TestA(q *testing.T) { go func() { q.Fatal(1) }() }", "test-quality.fatal-in-goroutine"),
-    ("test", "testing", 'func TestA(q *testing.T) { q.Skip("later"); q.Fail() }', "test-quality.skipped-test"),
-    ("test", "testing", 'func TestA(q *testing.T) { if short { q.Skip("slow") }; q.Fail() }', ""),
-    ("test", "testing", 'func TestA(q *testing.T) { if short { q.Skip("TODO") }; q.Fail() }', "test-quality.skipped-test"),
-    ("test", "testing,time", "func TestA(q *testing.T) { time.Sleep(1); q.Fail() }", "test-quality.sleep-in-test"),
-    ("test", "testing,os", 'func TestA(q *testing.T) { os.MkdirTemp("", "x"); q.Fail() }', "test-quality.tempdir-misuse"),
-    ("test", "testing", "func TestA(q *testing.T) { for _, c := range cs { q.Run(c.n, func(q *testing.T) { q.Parallel(); q.Fatal(c) }) } }", "test-quality.parallel-range-capture"),
-    ("test", "testing", "func TestA(q *testing.T) { for _, c := range cs { c := c; q.Run(c.n, func(q *testing.T) { q.Parallel(); q.Fatal(c) }) } }", ""),
-    ("go", "", "// UserId is one.\nvar UserId int", "naming.acronym-case"),
-    ("go", "", "func f() { tmp := 1 }", "naming.identifier-quality"),
-    ("go", "", "// A is.\ntype A struct { NoColor bool }", "naming.negated-boolean"),
-    ("go", "", "// A is.\ntype A struct { Notify bool }", ""),
-    ("go", "", "// SRun is.\nfunc SRun() {}", "naming.package-stutter"),
-    ("go", "", "// GetName is.\nfunc (a *A) GetName() string { return a.name }", "naming.get-prefix"),
-    ("go", "", "// GetName is.\nfunc (a *A) GetName(k int) string { return a.name }", ""),
-    ("go", "", "// lenght of it.\nfunc size() {}", "naming.misspelling"),
-    ("go", "", "func Open() {}", "docs.exported-symbol-comment"),
-    ("go", "", "var x = 1 //nolint:errcheck", "docs.suppression-without-rationale"),
-    ("go", "", "var x = 1 //nolint:errcheck // it can't fail here", ""),
-]
-
-
-def source_of(kind: str, imports: str, body: str) -> str:
-    lines = ["package s", ""]
-    for x in filter(None, imports.split(",")):
-        name, _, path = x.rpartition(":")
-        lines.append(f'import {name} "{path}"' if name else f'import "{path}"')
-    return "\n".join([*lines, "", body, ""])
-
-
-_CASES = " ".join(f"WHEN {i} THEN '{rule}'" for i, (_, _, _, rule) in enumerate(SNIPPETS))
-
-
-@query(f"SELECT concat('s/f', p_partkey, CASE WHEN p_partkey % {len(SNIPPETS)} IN ({', '.join(str(i) for i, s in enumerate(SNIPPETS) if s[0] == 'test')}) THEN '_test.go' ELSE '.go' END) AS file, rule_id FROM (SELECT p_partkey, CASE p_partkey % {len(SNIPPETS)} {_CASES} END AS rule_id FROM part) WHERE rule_id <> ''")
+_N = len(SNIPPETS)
+_SUFFIX = f"CASE WHEN p_partkey % {_N} IN ({', '.join(str(i) for i, s in enumerate(SNIPPETS) if s[0] == 'test')}) THEN '_test.go' ELSE '.go' END"
+_FOLDER = f"CASE WHEN p_partkey % {_N} IN ({', '.join(str(i) for i, s in enumerate(SNIPPETS) if s[0] == 'conf')}) THEN 'c/f' ELSE 's/f' END"
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_FOUND = ", ".join(f"({i}, {_quoted(rule)}, {line}, {col}, {_quoted(symbol)}, {_quoted(message)})" for i, s in enumerate(SNIPPETS) for rule, line, col, symbol, message in s[3])
+#: All comments that the rubric may ask for, and documented fields, below c/ alone.
+CONF = {"docs.comment-rubric": {"includePaths": ["c/**"], **{f"require{x}Comments": True for x in ("Function", "Const", "Var", "NamedType", "Struct", "Interface")}}, "docs.config-field-comment": {"includePaths": ["c/**"]}}
+
+
+@query(f"""SELECT file, rule_id, CAST(line AS INT) AS line, CAST(col AS INT) AS col, symbol, message, {FINGERPRINT_SQL} AS fingerprint FROM (
+  SELECT concat({_FOLDER}, p_partkey, {_SUFFIX}) AS file, rule_id, line, col, 0 AS end_line, symbol, message FROM part JOIN (VALUES {_FOUND}) AS x(i, rule_id, line, col, symbol, message) ON p_partkey % {_N} = i)""")
 def go_snippets(spark, d):
-    """A positive or a near miss of each rule in each file; the case that chose it says what is found."""
-    t = table(spark, d, "part").withColumn("i", (F.col("p_partkey") % len(SNIPPETS)).cast("int"))
+    """Positives or near misses of a rule in each file: findings whole, with their fingerprints."""
+    t = table(spark, d, "part").withColumn("i", (F.col("p_partkey") % _N).cast("int"))
     chosen = F.array(*[F.lit(source_of(*s[:3])) for s in SNIPPETS])
-    tests = F.col("i").isin(*[i for i, s in enumerate(SNIPPETS) if s[0] == "test"])
-    path = F.concat(F.lit("s/f"), F.col("p_partkey").cast("string"), F.when(tests, "_test.go").otherwise(".go"))
+    path = F.concat(F.expr(_FOLDER), F.col("p_partkey").cast("string"), F.expr(_SUFFIX))
     files = t.select(path.alias("path"), F.get(chosen, F.col("i")).alias("text"), F.struct(F.lit(1).alias("major"), F.lit(20).alias("minor")).alias("go_version"))
-    return parse.raw_findings(parse.parsed(files)).select("file", "rule_id").distinct()
+    rules = parse.default_rules() | {r: Options(CATALOGUE[r], {}, o) for r, o in CONF.items()}
+    x = parse.raw_findings(parse.parsed(files, rules))
+    return x.select("file", "rule_id", "line", "col", "symbol", "message", fingerprint().alias("fingerprint"))
 
 
 def _package_files(spark, d) -> DataFrame:
@@ -161,10 +104,19 @@ def go_packages(spark, d):
     return out.select("rule_id", "file", "line", "message")
 
 
-@query("SELECT concat('e/f', p_partkey, '.go') AS path, CAST(2 + p_size % 4 AS INT) AS line, CAST(1 AS INT) AS col FROM part WHERE p_size % 3 = 0")
+_UNEXPECTED = _quoted("expected ';', found 'b'")
+
+
+@query(f"""WITH f AS (SELECT concat('e/f', p_partkey, '.go') AS path, p_size % 3 AS k, 2 + p_size % 4 AS line, p_size = 50 AS deep FROM part)
+SELECT path, CAST(line AS INT) AS line, CAST(1 AS INT) AS col, 'non-declaration statement outside function body' AS message FROM f WHERE k = 0 AND NOT deep
+UNION ALL SELECT path, CAST(line + 2 AS INT), CAST(14 AS INT), {_UNEXPECTED} FROM f WHERE k = 0 AND NOT deep
+UNION ALL SELECT path, CAST(line AS INT), CAST({15 + MAX_DEPTH} AS INT), 'exceeded max nesting depth' FROM f WHERE deep""")
 def go_diagnostics(spark, d):
-    """Files with an error after some lines: a diagnostic each, and nothing else of them."""
-    bad = F.col("p_size") % 3 == 0
-    text = F.concat(F.lit("package e\n"), F.repeat(F.lit("\n"), F.col("p_size") % 4), F.when(bad, "]").otherwise("func f() { return; g() }\n"))
+    """Files with two errors after some lines, or nested beyond measure: all their errors, and nothing else of them."""
+    deep, bad = F.col("p_size") == 50, F.col("p_size") % 3 == 0
+    good = "func f() { return; g() }\n"
+    body = F.when(deep, F.concat(F.lit("func f() { x = "), F.repeat(F.lit("("), F.lit(MAX_DEPTH + 1)))).when(bad, "]\nfunc ok() {}\nfunc f() { a b c }\n").otherwise(good)
+    text = F.concat(F.lit("package e\n"), F.repeat(F.lit("\n"), F.col("p_size") % 4), body)
     files = table(spark, d, "part").select(F.concat(F.lit("e/f"), F.col("p_partkey").cast("string"), F.lit(".go")).alias("path"), text.alias("text"))
-    return parse.parsed(files, parse.default_rules()).where("error is not null").select("path", "error.line", "error.col")
+    wrong = parse.parsed(files, parse.default_rules()).where("error is not null").select("path", F.explode("errors").alias("e"))
+    return wrong.select("path", "e.line", "e.col", "e.message")

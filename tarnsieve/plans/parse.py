@@ -20,7 +20,7 @@ FACTS = (
     "path string, dir string, package string, package_line int, is_test boolean, has_doc boolean, doc_lines int, reflects boolean, line_count bigint, "
     "names array<struct<name:string,n:bigint>>, privates array<struct<name:string,line:int,col:int>>, methods array<struct<type:string,name:string,form:string,symbol:string,line:int,col:int>>, "
     "findings array<struct<rule_id:string,message:string,line:int,col:int,end_line:int,symbol:string,metadata:map<string,string>,metric:bigint>>, "
-    "error struct<line:int,col:int,message:string>"
+    "error struct<line:int,col:int,message:string>, errors array<struct<line:int,col:int,message:string>>"
 )
 
 
@@ -76,15 +76,19 @@ def default_rules() -> dict[str, Options]:
     return {r.id: Options(r) for r in CATALOGUE.values() if r.kind == "unit"}
 
 
+_ERROR = pa.struct([("line", pa.int32()), ("col", pa.int32()), ("message", pa.string())])
 _ARROW = pa.schema([
     ("path", pa.string()), ("dir", pa.string()), ("package", pa.string()), ("package_line", pa.int32()), ("is_test", pa.bool_()), ("has_doc", pa.bool_()), ("doc_lines", pa.int32()), ("reflects", pa.bool_()), ("line_count", pa.int64()),
     ("names", pa.list_(pa.struct([("name", pa.string()), ("n", pa.int64())]))), ("privates", pa.list_(pa.struct([("name", pa.string()), ("line", pa.int32()), ("col", pa.int32())]))),
     ("methods", pa.list_(pa.struct([("type", pa.string()), ("name", pa.string()), ("form", pa.string()), ("symbol", pa.string()), ("line", pa.int32()), ("col", pa.int32())]))),
     ("findings", pa.list_(pa.struct([("rule_id", pa.string()), ("message", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("end_line", pa.int32()), ("symbol", pa.string()), ("metadata", pa.map_(pa.string(), pa.string())), ("metric", pa.int64())]))),
-    ("error", pa.struct([("line", pa.int32()), ("col", pa.int32()), ("message", pa.string())])),
+    ("error", _ERROR), ("errors", pa.list_(_ERROR)),
 ])
 
 
+_DEEP = {"line": 1, "col": 1, "message": "exceeded max nesting depth"}
+
+
 def _parser(rules: list[tuple[str, dict, dict, tuple]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = {id: Options(CATALOGUE[id], t, o, a) for id, t, o, a in rules}
@@ -96,7 +100,10 @@ def _parser(rules: list[tuple[str, dict, dict, tuple]]):
                     u = unit(path, text, (version["major"], version["minor"]) if version else None)
                     row |= facts(u) | {"line_count": u.line_count, "findings": unit_findings(u, mine)}
                 except GoSyntaxError as e:
-                    row["error"] = {"line": e.line, "col": e.column, "message": e.message}
+                    row["errors"] = [{"line": x.line, "col": x.column, "message": x.message} for x in e.all]
+                    row["error"] = row["errors"][0]
+                except RecursionError:  # a tree that parses, but is too deep for some rule
+                    row = {"path": path, "dir": row["dir"], "error": _DEEP, "errors": [_DEEP]}
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
@@ -106,7 +113,7 @@ def _parser(rules: list[tuple[str, dict, dict, tuple]]):
 def parsed(files: DataFrame, rules: dict[str, Options] | None = None) -> DataFrame:
     """A row (FACTS) for each row of files (path, text, go_version struct<major, minor> or null): one pass, no shuffle.
 
-    A file that can't be parsed has an error, and neither facts nor findings. Files other than *.go have no facts. A
+    A file that can't be parsed has errors (error is the first of them), and neither facts nor findings. Files other than *.go have no facts. A
     null text is an empty one. Where the result is used more than once, write or checkpoint it: parsing is the dear part.
     """
     wanted = [(id, o.thresholds, o.options, tuple(o.abbreviations)) for id, o in (default_rules() if rules is None else rules).items()]

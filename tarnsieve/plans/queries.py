@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tarnsieve.operators import composites, findings as fnd, scoring, secrets, suppression
 from tarnsieve.plans import views
-from tarnsieve.plans.engine import persist
 from tarnsieve.plans.gotext import GO_QUERIES, GO_SQL
 from tarnsieve.functions import text as tx
 from tarnsieve.rules.base import CATALOGUE
+from tarnsieve.shared import cut as persist
 from tarnsieve.sinks import formats
 from tarnsieve.sources import tree
 from tarnsieve.sources.patches import hunks
@@ -134,12 +134,7 @@ def summary_pillars(spark, d):
 
 @query(f"WITH {_V}, f(fail_on, least) AS (VALUES ('advisory', 0), ('warning', 1), ('error', 2), ('none', 9)) SELECT fail_on, CAST(max(CASE WHEN CASE severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END >= least THEN 1 ELSE 0 END) AS INT) AS exit_code FROM f, v GROUP BY fail_on")
 def gate_exit_codes(spark, d):
-    f = _findings(spark, d)
-    parts = [scoring.exit_code(f, 0, x).withColumn("fail_on", F.lit(x)) for x in ("advisory", "warning", "error", "none")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("fail_on", "exit_code")
+    return scoring.exit_codes(_findings(spark, d), ["advisory", "warning", "error", "none"])
 
 
 @query(f"WITH {_V} SELECT rule_id, pillar, file, line, fingerprint FROM v WHERE pillar IN ('complexity', 'size') AND rule_id <> 'size.function-length'")
@@ -150,26 +145,32 @@ def display_filter(spark, d):
 # joins
 
 
+def _both(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Findings and a baseline made of them; fingerprints are made once."""
+    f = persist(_findings(spark, d).select("rule_id", "file", "line", "metric", "fingerprint"))
+    return f, views.baseline(f)
+
+
 @query(f"WITH {_V}, {_B} SELECT rule_id, file, line, fingerprint FROM v WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.rule_id = v.rule_id AND b.file = v.file AND b.fingerprint = v.fingerprint)")
 def baseline_kept(spark, d):
-    return suppression.kept(_findings(spark, d), views.baseline(spark, d)).select("rule_id", "file", "line", "fingerprint")
+    return suppression.kept(*_both(spark, d)).select("rule_id", "file", "line", "fingerprint")
 
 
 @query(f"WITH {_V}, {_B} SELECT rule_id, file, line, fingerprint FROM v WHERE EXISTS (SELECT 1 FROM b WHERE b.rule_id = v.rule_id AND b.file = v.file AND b.fingerprint = v.fingerprint)")
 def baseline_suppressed(spark, d):
-    return suppression.suppressed(_findings(spark, d), views.baseline(spark, d)).select("rule_id", "file", "line", "fingerprint")
+    return suppression.suppressed(*_both(spark, d)).select("rule_id", "file", "line", "fingerprint")
 
 
 @query(f"WITH {_V}, {_B} SELECT DISTINCT rule_id, file, fingerprint FROM b WHERE NOT EXISTS (SELECT 1 FROM v WHERE b.rule_id = v.rule_id AND b.file = v.file AND b.fingerprint = v.fingerprint)")
 def baseline_stale(spark, d):
-    return suppression.stale(_findings(spark, d), views.baseline(spark, d))
+    return suppression.stale(*_both(spark, d))
 
 
 @query(f"""WITH {_V}, {_B}, e AS (SELECT DISTINCT * FROM b), k AS (SELECT rule_id, file, fingerprint, count(*) AS n FROM v GROUP BY ALL)
 SELECT CAST(count(e.rule_id) AS BIGINT) AS entries, CAST(coalesce(sum(n) FILTER (e.rule_id IS NOT NULL), 0) AS BIGINT) AS suppressed, CAST(coalesce(sum(n) FILTER (e.rule_id IS NULL), 0) AS BIGINT) AS kept, count(*) FILTER (k.rule_id IS NULL) AS stale
 FROM k FULL JOIN e ON k.rule_id = e.rule_id AND k.file = e.file AND k.fingerprint = e.fingerprint""")
 def baseline_counts(spark, d):
-    return suppression.baseline_counts(_findings(spark, d), views.baseline(spark, d))
+    return suppression.baseline_counts(*_both(spark, d))
 
 
 @query(f"WITH {_V} SELECT rule_id, file, fingerprint FROM v")
@@ -207,11 +208,11 @@ def composite_hotspots(spark, d):
 SELECT g.file, g.symbol FROM g JOIN changed USING (file) WHERE EXISTS (SELECT 1 FROM (SELECT unnest(g.underlying) AS fp) u JOIN alive ON alive.fingerprint = u.fp)""")
 def composite_without_orphans(spark, d):
     """Composites after the narrowing to changed lines, without those whose evidence is gone."""
-    f, c = persist(_findings(spark, d)), views.changed(spark, d)  # read four times
+    f, c = persist(_findings(spark, d)), persist(views.changed(spark, d))  # each is read several times
     x = composites.god_functions(f).withColumn("fingerprint", fnd.fingerprint())
     cols = ["rule_id", "file", "symbol", "line", "end_line", "fingerprint", "underlying"]
     both = f.select(*cols).unionByName(x.select(*cols))
-    left = suppression.without_orphans(suppression.on_changed_lines(both, c))
+    left = suppression.without_orphans(persist(suppression.on_changed_lines(both, c)))
     return left.where("underlying is not null").select("file", "symbol")
 
 
@@ -225,7 +226,8 @@ def sink_annotations(spark, d):
 
 @query(f"WITH {_V} SELECT fingerprint, CASE severity WHEN 'error' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END AS level, CASE WHEN line > 0 THEN line END AS start_line, CAST(dense_rank() OVER (ORDER BY rule_id) - 1 AS INT) AS rule_index FROM v")
 def sink_sarif_results(spark, d):
-    rules = _findings(spark, d).select("rule_id").distinct()
+    # as in a report, whose rules are known before its findings
+    rules = spark.createDataFrame([(r,) for r in views.RULES], "rule_id string").coalesce(1)
     x = formats.sarif_results(_findings(spark, d), formats.rule_index(rules))
     r = F.col("result")
     return x.select(r["partialFingerprints"]["primary"].alias("fingerprint"), r["level"].alias("level"), r["locations"][0]["physicalLocation"]["region"]["startLine"].alias("start_line"), r["ruleIndex"].alias("rule_index"))
@@ -256,6 +258,7 @@ _KINDS = [
     "concat('postgres', '://user:changeme@localhost:5432/x')",
     "concat('-----BEGIN RSA ', 'PRIVATE KEY-----')",
     f"concat('api_', 'key = \"', substr({_HASH}, 1, 32), '\"')",
+    f"concat('sk', '-ant-', substr({_HASH}, 1, 28))",
     "'nothing here'",
 ]
 _TOKEN = "CASE " + " ".join(f"WHEN doc_id % {len(_KINDS)} = {i} THEN {k}" for i, k in enumerate(_KINDS)) + " ELSE '' END"

@@ -14,6 +14,8 @@ FINDINGS_SQL = """SELECT CASE l_returnflag WHEN 'A' THEN 'complexity.cyclomatic'
   concat('pkg', CAST(l_partkey % 50 AS VARCHAR(20)), '/f', CAST(l_partkey AS VARCHAR(20)), CASE WHEN l_partkey % 3 = 0 THEN '_test.go' ELSE '.go' END) AS file,
   CAST(CASE WHEN l_quantity = 50 THEN 0 ELSE l_linenumber * 10 END AS INT) AS line, CAST(l_linenumber * 10 + floor(l_quantity) AS INT) AS end_line, CAST(l_suppkey % 5 AS INT) AS col,
   concat('F', CAST(l_suppkey % 7 AS VARCHAR(20))) AS symbol, concat('quantity <', CAST(CAST(floor(l_quantity) AS INT) AS VARCHAR(20)), '> & "more"') AS message, CAST(floor(l_quantity) AS BIGINT) AS metric FROM lineitem"""
+#: The rules of FINDINGS_SQL.
+RULES = ["complexity.cyclomatic", "design.god-function", "security.shell-command", "size.function-length"]
 #: Lines of files that changed, by orders.
 CHANGED_SQL = """SELECT concat('pkg', CAST(o_custkey % 50 AS VARCHAR(20)), '/f', CAST(o_custkey AS VARCHAR(20)), CASE WHEN o_custkey % 3 = 0 THEN '_test.go' ELSE '.go' END) AS file,
   CAST(o_orderkey % 60 AS INT) AS first, CAST(o_orderkey % 60 + o_orderkey % 4 AS INT) AS last FROM orders"""
@@ -48,7 +50,7 @@ def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, CHANGED_SQL, "orders")
 
 
-def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = findings(spark, sf_dir)
+def baseline(f: DataFrame) -> DataFrame:
+    """BASELINE_SQL of findings."""
     stale = f.where("metric % 25 = 0").select("rule_id", "file", F.lit("stale").alias("fingerprint")).distinct()
     return f.where("metric % 4 = 0").select("rule_id", "file", "fingerprint").unionByName(stale)

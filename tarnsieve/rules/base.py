@@ -29,6 +29,8 @@ class Rule:
     options: dict[str, Any] = field(default_factory=dict)
     tags: tuple[str, ...] = ()
     remediation: str = ""
+    #: What a rule needs of a file: its syntax (or lines), types, single assignments or the flow of data.
+    capability: str = "parser"
     check: Callable | None = None
 
 
@@ -36,8 +38,24 @@ class Rule:
 CATALOGUE: dict[str, Rule] = {}
 
 
+CONFIDENCES, CAPABILITIES = ("low", "medium", "high"), ("parser", "type", "ssa", "dataflow")
+RULE_ID = re.compile(r"[a-z][a-z0-9]*(?:-[a-z0-9]+)*(?:\.[a-z0-9]+(?:-[a-z0-9]+)*)+")
+
+
+def valid(rule: Rule) -> Rule:
+    """The rule; fails on whatever a catalogue can't hold."""
+    checks = [
+        (RULE_ID.fullmatch(rule.id), "id"), (rule.title.strip(), "title"), (rule.pillar in PILLARS, "pillar"), (set(rule.secondary) <= set(PILLARS), "secondary pillars"), (rule.severity in SEVERITIES, "severity"),
+        (rule.confidence in CONFIDENCES, "confidence"), (rule.capability in CAPABILITIES, "capability"), (all(rule.thresholds.keys()), "threshold names"), (all(rule.options.keys()), "option names"),
+    ]
+    for fine, what in checks:
+        if not fine:
+            raise ValueError(f"rule {rule.id!r} has no valid {what}")
+    return rule
+
+
 def add(rule: Rule) -> None:
-    if rule.id in CATALOGUE:
+    if valid(rule).id in CATALOGUE:
         raise ValueError(f"two rules have the id {rule.id}")
     CATALOGUE[rule.id] = rule
 

@@ -82,7 +82,23 @@ def pillars(r: Report) -> list[dict]:
     return [x.asDict() for x in scoring.pillar_summary(r.findings).orderBy(F.desc("findings"), "pillar").collect()]
 
 
-def as_summary(r: Report, top: int = 10) -> str:
+def duration(seconds: float) -> str:
+    """A scan's time in plain signs: <1ms, 245ms, 3.4s, 2m 5.0s."""
+    if seconds < 0.001:
+        return "<1ms"
+    if seconds < 1:
+        return f"{int(seconds * 1000)}ms"
+    return f"{seconds:.1f}s" if seconds < 60 else f"{int(seconds // 60)}m {seconds % 60:.1f}s"
+
+
+def as_rules_json(rules) -> str:
+    """The catalogue as configured."""
+    names = {"enabled": "defaultEnabled", "secondary_pillars": "secondaryPillars"}
+    rows = [{names.get(k, k): v for k, v in r.asDict().items() if v not in ([], {}, "")} for r in rules]
+    return json.dumps({"schemaVersion": ANALYSIS_ID, "rules": rows}, indent=2, ensure_ascii=False)
+
+
+def as_summary(r: Report, top: int = 10, paths: list[str] | None = None) -> str:
     rows = pillars(r)
     width = max(len(x["pillar"]) for x in rows)
     out = [f"score: {r.score['composite']} / 100  grade: {r.score['grade']}", f"score coverage: {', '.join(r.score['contributing_pillars']) or 'none'}"]
@@ -91,7 +107,10 @@ def as_summary(r: Report, top: int = 10) -> str:
     out += [f"  {x['pillar']:<{width}} {x['grade']} {x['score']:6.2f} findings={x['findings']} advisory={x['advisory']} warning={x['warning']} error={x['error']}" for x in rows]
     out += ["top rules:", *(f"  {x.n:4d}  {x.rule_id}" for x in scoring.top_rules(r.displayed, top).collect())]
     out += ["top offenders:", *(f"  {x['file']}  penalty={x['penalty']}  findings={x['findings']}  grade={x['grade']}" for x in r.score["offenders"][:top])]
-    return "\n".join([*out, f"exit: {r.exit_code}", ""])
+    if sum(r.counts.values()) and r.baseline is None:
+        inputs = " ".join(paths or ["."])
+        out += [f"fresh start: python -m tarnsieve analyse --generate-baseline tarnsieve-baseline.json {inputs}", f"then scan with: python -m tarnsieve analyse --baseline tarnsieve-baseline.json {inputs}"]
+    return "\n".join([*out, f"duration: {duration(r.seconds)}", f"exit: {r.exit_code}", ""])
 
 
 def as_summary_json(r: Report) -> str:
@@ -113,7 +132,7 @@ def as_markdown(r: Report) -> str:
 
 _STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.2em .5em;text-align:left}.error{color:#a00}.warning{color:#a60}"
 _FILTER = "<input id=q placeholder=filter><script>q.oninput=()=>document.querySelectorAll('#f tr').forEach(r=>r.hidden=!r.textContent.includes(q.value))</script>"
-_EDITORS = {"none": None, "vscode": "vscode://file/{path}:{line}", "phpstorm": "phpstorm://open?file={path}&line={line}"}
+EDITORS = {"none": None, "vscode": "vscode://file/{path}:{line}", "phpstorm": "phpstorm://open?file={path}&line={line}"}
 
 
 def as_html(r: Report, interactive: bool = False, editor: str = "none", root: str = "") -> str:
@@ -124,13 +143,15 @@ def as_html(r: Report, interactive: bool = False, editor: str = "none", root: st
 
     def finding(x) -> str:
         at = f"{e(x['file'])}:{x['line']}"
-        if link := _EDITORS[editor]:
+        if link := EDITORS[editor]:
             at = f"<a href='{e(link.format(path=f'{root}/{x['file']}' if root else x['file'], line=x['line']))}'>{at}</a>"
         return f"<tr class='{e(x['severity'])}'><td>{e(x['severity'])}</td><td>{e(x['rule_id'])}</td><td>{at}</td><td>{e(x['message'])}</td></tr>"
 
+    shown = {x.severity: x.n for x in scoring.severity_counts(r.displayed).collect()}
     rows = (finding(x) for x in _stream(ordered(r.displayed).select(F.struct("severity", "rule_id", "file", F.coalesce("line", F.lit(0)).alias("line"), "message").alias("r")), "r"))
     parts = [
         f"<h1>Score {e(r.score['composite'])} / 100, {e(r.score['grade'])}</h1><p>{r.files} files, {len(r.skipped)} skipped, exit {r.exit_code}</p>",
+        table(["error", "warning", "advisory"], [cells([shown[s] for s in ("error", "warning", "advisory")])]),
         table(["stage", "file", "message"], [cells([d["stage"], d.get("file", ""), d["message"]]) for d in _diagnostics(r)]) if r.diagnostics.limit(1).count() else "",
         "<h2>Pillars</h2>" + table(["pillar", "grade", "score", "findings"], [cells([x["pillar"], x["grade"], x["score"], x["findings"]]) for x in pillars(r)]),
         "<h2>Files</h2>" + table(["file", "penalty", "findings", "grade"], [cells([x["file"], x["penalty"], x["findings"], x["grade"]]) for x in r.score["offenders"]]),
@@ -140,7 +161,7 @@ def as_html(r: Report, interactive: bool = False, editor: str = "none", root: st
     return f"<!doctype html><html><head><meta charset='utf-8'><title>Code quality</title><style>{_STYLE}</style></head><body>{''.join(parts)}</body></html>\n"
 
 
-def render(r: Report, form: str) -> str:
+def render(r: Report, form: str, interactive: bool = False, editor: str = "none", root: str = "") -> str:
     if form not in FORMATS:
         raise ValueError(f"no such format: {form}")
-    return {"text": as_text, "json": as_json, "summary-json": lambda x: as_json(x, False), "sarif": as_sarif, "github": as_github, "markdown": as_markdown, "md": as_markdown, "html": as_html}[form](r)
+    return {"text": as_text, "json": as_json, "summary-json": lambda x: as_json(x, False), "sarif": as_sarif, "github": as_github, "markdown": as_markdown, "md": as_markdown, "html": lambda x: as_html(x, interactive, editor, root)}[form](r)

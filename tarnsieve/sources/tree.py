@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import posixpath
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 
 from tarnsieve.functions.paths import PatternError, matches_any, path_regex, segment_regex
 
-_VCS = frozenset([".svn", ".hg", ".git"])
+VCS = frozenset([".svn", ".hg", ".git"])
 _METADATA = frozenset([".github", ".codex", ".claude", ".agents"])
-_FALLBACK = {"node_modules": "dependency", "vendor": "dependency", "coverage": "build-output", "build": "build-output", "dist": "build-output", ".vscode": "local-tooling", ".idea": "local-tooling"}
+FALLBACK = {"node_modules": "dependency", "vendor": "dependency", "coverage": "build-output", "build": "build-output", "dist": "build-output", ".vscode": "local-tooling", ".idea": "local-tooling"}
 _TEXT = frozenset(".txt .env .xml .ini .toml .yml .yaml .json".split())
 
 
@@ -62,11 +63,11 @@ def ignore_regex(pattern: str, anchored: bool) -> str:
 
 def dir_reason(parts: list[str], fallback: bool) -> str | None:
     for p in parts:
-        if p in _VCS:
+        if p in VCS:
             return "vcs"
         if p in _METADATA:
             return "non-application-metadata"
-    return next((_FALLBACK[p] for p in parts if p in _FALLBACK), None) if fallback else None
+    return next((FALLBACK[p] for p in parts if p in FALLBACK), None) if fallback else None
 
 
 def file_type(path: str) -> str | None:
@@ -75,9 +76,9 @@ def file_type(path: str) -> str | None:
     return "go" if ext == ".go" else "text" if ext in _TEXT or base.startswith(".env") else None
 
 
-def generated_go(text: str) -> bool:
-    """Whether comments before the package clause say that a tool wrote the file."""
-    for line in (x.strip() for x in text.split("\n")):
+def generated_go(lines: str | Iterable[str]) -> bool:
+    """Whether comments before the package clause say that a tool wrote the file; no line behind it is asked for."""
+    for line in (x.strip() for x in (lines.split("\n") if isinstance(lines, str) else lines)):
         if line:
             if line.startswith("package ") or not line.startswith(("//", "/*", "*")):
                 return False
@@ -150,7 +151,7 @@ class Walk:
             reason = "non-application-metadata"
         elif kind == "go" and not self.all:
             with open(path, encoding="utf-8", errors="replace") as f:
-                reason = "generated" if generated_go(f.read(1 << 16)) else None
+                reason = "generated" if generated_go(f) else None
         if reason:
             self.found.skipped.add((rel, reason))
         elif kind:
@@ -207,10 +208,19 @@ def folder_reason(path: Column, fallback: Column) -> Column:
     """Why the folder of a file isn't walked, by its segments: the first that says so, always before fallback."""
     parts = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
     has = lambda names: F.arrays_overlap(parts, F.array(*[F.lit(x) for x in sorted(names)]))
-    first = F.try_element_at(F.filter(parts, lambda p: p.isin(*sorted(_VCS | _METADATA))), F.lit(1))
-    loose = F.try_element_at(F.filter(parts, lambda p: p.isin(*sorted(_FALLBACK))), F.lit(1))
-    reasons = F.create_map(*[F.lit(x) for kv in sorted(_FALLBACK.items()) for x in kv])
-    return F.when(has(_VCS | _METADATA), F.when(first.isin(*sorted(_VCS)), "vcs").otherwise("non-application-metadata")).when(fallback, reasons[loose])
+    first = F.try_element_at(F.filter(parts, lambda p: p.isin(*sorted(VCS | _METADATA))), F.lit(1))
+    loose = F.try_element_at(F.filter(parts, lambda p: p.isin(*sorted(FALLBACK))), F.lit(1))
+    reasons = F.create_map(*[F.lit(x) for kv in sorted(FALLBACK.items()) for x in kv])
+    return F.when(has(VCS | _METADATA), F.when(first.isin(*sorted(VCS)), "vcs").otherwise("non-application-metadata")).when(fallback, reasons[loose])
+
+
+def config_ignored(path: Column, ignore: list[str] | None) -> Column:
+    """Whether the configuration leaves a path out."""
+    hidden = F.lit(False)
+    for p in ignore or []:
+        prefix = p.removesuffix("/**") if p.endswith("/**") else None
+        hidden = hidden | (((path == prefix) | path.startswith(f"{prefix}/")) if prefix else path.rlike(path_regex(p)))
+    return hidden
 
 
 def classify(paths: DataFrame, ignore: list[str] | None = None) -> DataFrame:
@@ -218,11 +228,7 @@ def classify(paths: DataFrame, ignore: list[str] | None = None) -> DataFrame:
 
     type and reason null: neither scanned nor reported.
     """
-    hidden = F.lit(False)
-    for p in ignore or []:
-        prefix = p.removesuffix("/**") if p.endswith("/**") else None
-        hidden = hidden | (((F.col("path") == prefix) | F.col("path").startswith(f"{prefix}/")) if prefix else F.col("path").rlike(path_regex(p)))
-    reason = F.coalesce(folder_reason(F.col("path"), F.lit(True)), F.when(hidden, "config-ignore"))
+    reason = F.coalesce(folder_reason(F.col("path"), F.lit(True)), F.when(config_ignored(F.col("path"), ignore), "config-ignore"))
     return paths.select("path", F.when(reason.isNull(), type_of(F.col("path"))).alias("type"), reason.alias("reason"))
 
 

@@ -7,7 +7,7 @@ from tarnsieve import config as cfg
 from tarnsieve.__main__ import main
 from tarnsieve.plans.engine import Engine
 from tarnsieve.sinks import report as sinks
-from tarnsieve.sources import baselines, tree
+from tarnsieve.sources import baselines, storage, tree
 from tarnsieve.sources.tree import discover, generated_go, ignore_rules
 
 HOT = "package spot\n\n\nfunc Hot(a, b bool) int {\n\tif a {\n\t\treturn 1\n\t}\n\tif b {\n\t\treturn 2\n\t}\n\treturn 3\n}\n"
@@ -163,3 +163,87 @@ def test_stream(spark, tmp_path):
         watch(arriving(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.where("rule_id = 'dead-code.unreachable-code'").count() == 1
+
+
+def test_generated_header_of_any_length(tmp_path):
+    long = "// license\n" * 20_000 + "// Code generated by y. DO NOT EDIT.\npackage gen\n"
+    (tmp_path / "a.go").write_text(long)
+    (tmp_path / "b.go").write_text("// license\n" * 20_000 + "package gen\n// Code generated by y. DO NOT EDIT.\n")
+    found = discover(str(tmp_path))
+    assert ("a.go", "generated") in found.skipped and set(found.files) == {"b.go"}
+
+
+@pytest.mark.parametrize("include", [False, True])
+@pytest.mark.parametrize("root_ignore", ["*.log\n!keep.log\nout/\n/only.txt\n[\n", None])
+def test_discovery_by_executors(spark, tmp_path, root_ignore, include):
+    """The tables hold what the walk finds; skipped files are told one by one."""
+    names = "a.go b.log keep.log only.txt sub/only.txt out/x.go sub/c.tmp.json sub/b.go vendor/v.go vendor/.gitignore build/y.yaml .git/config .github/w.yml x/.claude/y.json .env.local note.md in/z.go gen.go deep/er/q.toml sub/go.mod".split()
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text({"gen.go": "// Code generated. DO NOT EDIT.\npackage g\n", "sub/go.mod": "module m\ngo 1.21.3\n", "vendor/.gitignore": "*.tmp\n"}.get(n, "package p\n" if n.endswith(".go") else "x"))
+    (tmp_path / "sub/.gitignore").write_text("*.tmp.json\n")
+    if root_ignore:
+        (tmp_path / ".gitignore").write_text(root_ignore)
+    want = discover(str(tmp_path), ignore=["in/**"], include_ignored=include)
+    files, skipped = storage.discover(spark, str(tmp_path), ["in/**"], include)
+    got = {r.path: r for r in files.collect()}
+    # the walk doesn't enter .git either way; with everything included both do
+    assert {p: k for p, (_, k) in want.files.items()} == {p: r.type for p, r in got.items()}
+    assert got["sub/b.go"].go_version.minor == 21 and got["a.go"].go_version is None and got["a.go"].text == "package p\n"
+    reasons = {r.path: r.reason for r in skipped.collect()}
+    for path, why in want.skipped:
+        assert any((p == path or p.startswith(path + "/")) and w == why for p, w in reasons.items()), (path, why)
+    assert not set(reasons) & set(got)
+
+
+def test_a_stored_tree(spark, project):
+    r = Engine(spark, str(project), cfg.load_auto(str(project)))
+    stored, walked = r.stored("file://" + str(project)), r.analyse()
+    key = lambda d: sorted((x.file, x.rule_id, x.fingerprint) for x in d.collect())
+    assert key(stored["findings"]) == key(walked.findings) and stored["files"].count() == walked.files
+    assert [x.file for x in stored["diagnostics"].collect()] == ["bad/x.go"]
+
+
+def test_flat_configuration_and_aliases():
+    c = cfg.from_dict({"select": ["size-file-length", "documentation-package-comment"], "selection": {"rules": ["docs.package-comment"], "tiers": ["x"]}, "excludeRules": ["naming-get-prefix"], "ignorePaths": ["b/**"], "paths": {"ignore": ["a/**", "b/**"]}, "acceptedAbbreviations": ["id"], "sensitiveData": {"previewAllowlist": ["c/**"]}, "allowlists": {"secretPreviews": ["d/**"]}, "minimumGoVersion": 1.22})
+    assert c.select == ["docs.package-comment", "size.file-length", "docs.package-comment"] or set(c.select) == {"docs.package-comment", "size.file-length"}
+    assert c.ignore == ["a/**", "b/**"] and c.secret_previews == ["c/**", "d/**"] and c.exclude_rules == ["naming.get-prefix"] and c.abbreviations == ["id"] and c.go_version == "1.22"
+    assert c.active() == {"docs.package-comment", "size.file-length"}
+    for bad in ({"select": ["no-rule"]}, {"minimumGoVersion": "go1"}, {"sensitiveData": {"x": 1}}, {"selection": {"tiers": [1]}}):
+        with pytest.raises(cfg.ConfigError):
+            cfg.from_dict(bad)
+
+
+def test_catalogue_is_validated():
+    from tarnsieve.rules.base import CATALOGUE, Rule, add, valid
+
+    assert all(valid(r) is r for r in CATALOGUE.values())
+    for wrong in (Rule("Bad", "t", "size"), Rule("a.b", "", "size"), Rule("a.b", "t", "sizes"), Rule("a.b", "t", "size", "bad"), Rule("a.b", "t", "size", confidence="sure"), Rule("a.b", "t", "size", secondary=("x",)), Rule("a.b", "t", "size", capability="magic"), Rule("a.b", "t", "size", thresholds={"": 1})):
+        with pytest.raises(ValueError):
+            add(wrong)
+
+
+def test_command_line_forms(spark, project, capsys):
+    (project / "bad/x.go").unlink()
+    root = ["--root", str(project)]
+    assert main(["list-rules", "--format", "json", *root], spark) == 0
+    rules = json.loads(capsys.readouterr().out)["rules"]
+    assert len(rules) == 64 and all(r["capability"] == "parser" and "defaultEnabled" in r for r in rules)
+    assert main(["list-rules", *root], spark) == 0 and "\tparser\t" in capsys.readouterr().out
+    out = str(project / "b.json")
+    for more in (["--baseline", out], ["--diff", "HEAD"], ["--rules", "size.file-length"]):
+        assert main(["analyse", *root, "--generate-baseline", out, *more], spark) == 2
+    assert main(["analyse", *root, "--generate-baseline", out], spark) == 0
+    assert main(["analyse", *root, "--baseline", out], spark) == 0
+    capsys.readouterr()
+    assert main(["summary", *root], spark) == 1 and "fresh start: " in (said := capsys.readouterr().out) and "duration: " in said
+    assert main(["summary", *root, "--baseline", out], spark) == 0 and "fresh start" not in capsys.readouterr().out
+    page = str(project / "r.html")
+    assert main(["report", *root, "--interactive", "--editor", "vscode", "--out", page], spark) == 0
+    with open(page) as f:
+        text = f.read()
+    assert "placeholder=filter" in text and f"vscode://file/{project}/hot.go" in text
+
+
+def test_durations():
+    assert [sinks.duration(x) for x in (0.0001, 0.2456, 3.44, 125.04)] == ["<1ms", "245ms", "3.4s", "2m 5.0s"]

@@ -69,3 +69,28 @@ def test_deep_nesting_and_long_files():
     parse("package p\nfunc f() {\n" + "if a {\n" * 2000 + "}\n" * 2000 + "}\n")
     tree, source, _ = parse("package p\n" + "func f() {}\n" * 5000)
     assert len(tree.Decls) == 5000 and source.line(tree.Decls[-1].pos) == 5001
+
+
+def _errors(text):
+    with pytest.raises(GoSyntaxError) as e:
+        parse(text)
+    return [(x.line, x.column) for x in e.value.all]
+
+
+def test_all_errors_of_a_file():
+    assert _errors("package p\n]\nfunc ok() {}\n]\nfunc f() { a b c }\nfunc g() { d e }\n") == [(2, 1), (4, 1), (5, 14), (6, 14)]
+    assert len(_errors("package p\n" + "]\nfunc f() {}\n" * 50)) == 11
+    assert _errors("package p\n] ]\n") == [(2, 1)]
+    assert _errors("package p\nimport \"a\"\nvar x int\nimport \"b\"\nfunc ok() {}\n") == [(4, 1)]
+
+
+@pytest.mark.parametrize("text", ["func f() { x = " + "(" * 20_000, "func f() { " + "if a { " * 20_000, "var x " + "*" * 20_000 + "int", "var x = " + "f(" * 20_000, "var x = " + "[]T{{" * 20_000, "var x = " + "func() { " * 20_000, "var x = a" + "[a" * 20_000, "var x = " + "!" * 20_000 + "a", "type T " + "struct { a " * 20_000, "var x " + "map[int]" * 20_000 + "int"])
+def test_nesting_has_a_bound(text):
+    with pytest.raises(GoSyntaxError, match="nesting"):
+        parse("package p\n" + text)
+
+
+def test_long_chains_are_fine():
+    parse("package p\nvar x = 1" + " + 1" * 30_000)
+    parse("package p\nfunc f() { if a {} " + "else if b {} " * 5_000 + "}")
+    parse("package p\nvar x = a" + ".b()" * 20_000)

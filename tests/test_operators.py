@@ -149,3 +149,26 @@ def test_identifier_tokens_agree(spark):
     names = ["".join(r.choice("aBcDé9_") for _ in range(r.randint(1, 12))) for _ in range(500)] + ["HTTPServer2Go", "userID", "_"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert [x.t for x in df.select(identifier_tokens(fnd.F.col("n")).alias("t")).collect()] == [name_tokens(n) for n in names]
+
+
+def test_hostile_files_don_t_end_a_scan(spark):
+    deep = "package p\nfunc f() bool { return " + "a || " * 40_000 + "a }\n"
+    rows = [("deep.go", "package p\nfunc f() { x = " + "(" * 20_000), ("chain.go", deep), ("good.go", "package p\nfunc f() { return; g() }\n")]
+    facts = parsed(files(spark, rows)).collect()
+    said = {r.path: r.error.message if r.error else None for r in facts}
+    assert "nesting" in said["deep.go"] and said["good.go"] is None and said["chain.go"] in (None, "exceeded max nesting depth")
+
+
+def test_rare_signs_in_fingerprints(spark):
+    """The escapes of a strict JSON writer, in texts that hold the rare ones, the common ones, both or none."""
+    import hashlib
+    import json
+
+    signs = ["plain", "<a> & b", "\u2028", "x\u2029<", "\x0b\x0e\x1f", "\x1a>&", "back\\u000B slash", '"q"', "é"]
+    d = spark.createDataFrame([(s,) for s in signs], "message string").selectExpr("'r' as rule_id", "'f' as file", "1 as line", "2 as col", "3 as end_line", "'s' as symbol", "message")
+    def want(s):
+        text = json.dumps({"ruleId": "r", "file": "f", "line": 1, "column": 2, "endLine": 3, "symbol": "s", "message": s}, ensure_ascii=False, separators=(",", ":"))
+        for c in "<>&\u2028\u2029":
+            text = text.replace(c, f"\\u{ord(c):04x}")
+        return hashlib.sha256(text.encode()).hexdigest()[:16]
+    assert {r.message: r.fp for r in d.select("message", fnd.fingerprint().alias("fp")).collect()} == {s: want(s) for s in signs}

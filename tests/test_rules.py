@@ -1,7 +1,8 @@
 import pytest
 
 from tarnsieve.operators import composites, packages, secrets  # noqa: F401  they fill the catalogue
-from tarnsieve.plans.gotext import SNIPPETS, source_of
+from tarnsieve.plans.gotext import CONF
+from tarnsieve.plans.snippets import SNIPPETS, source_of
 from tarnsieve.plans.parse import default_rules, unit, unit_findings
 from tarnsieve.rules.base import CATALOGUE, Options
 
@@ -20,9 +21,12 @@ def test_catalogue():
     assert (kinds.count("unit"), kinds.count("lines"), kinds.count("project"), kinds.count("composite")) == (45, 13, 4, 2)
 
 
-@pytest.mark.parametrize("kind, imports, body, rule", SNIPPETS)
-def test_snippets(kind, imports, body, rule):
-    assert ids("s/f_test.go" if kind == "test" else "s/f.go", source_of(kind, imports, body)) == ({rule} if rule else set())
+@pytest.mark.parametrize("kind, imports, body, told", SNIPPETS)
+def test_snippets(kind, imports, body, told):
+    """Findings whole: rule, place, symbol and message."""
+    rules = default_rules() | {r: Options(CATALOGUE[r], {}, o) for r, o in CONF.items()}
+    out = found({"test": "s/f_test.go", "conf": "c/f.go"}.get(kind, "s/f.go"), source_of(kind, imports, body), rules=rules)
+    assert sorted((f["rule_id"], f["line"], f["col"], f["symbol"], f["message"]) for f in out) == sorted(told) and all(f["end_line"] == 0 for f in out)
 
 
 def only(rule, **thresholds):
@@ -79,7 +83,7 @@ def test_paths_and_headers_excuse():
 
 
 def test_parallel_capture_needs_an_old_module():
-    text = next(source_of(*s[:3]) for s in SNIPPETS if s[3].endswith("range-capture"))
+    text = next(source_of(*s[:3]) for s in SNIPPETS if any(f[0].endswith("range-capture") for f in s[3]))
     assert ids("a_test.go", text, version=(1, 21)) and not ids("a_test.go", text, version=(1, 22)) and not ids("a_test.go", text, version=None)
 
 
