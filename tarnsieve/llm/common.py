@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnsieve.shared import cut, fresh_dir, remove, shared_dir  # noqa: F401  the operators have them from here
+
 #: Bytes up to which a table of row units is broadcast; beyond, the join shuffles.
 BROADCAST_BYTES = 32 << 20
 #: What a unit (two longs and a count) takes in a broadcast relation, generously.
@@ -19,37 +17,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it.
-
-    Only a local session that names none gets a folder of its own (tests); on a cluster that is an error, since an
-    executor's own disk goes with the executor.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = sc.getCheckpointDir()
-        if named:
-            return named
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="tarnsieve-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def fresh_dir(spark: SparkSession, what: str) -> str:
-    """A new path under the shared folder."""
-    return os.path.join(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder: what follows neither repeats the work nor depends on one executor's disk."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(True)
-
-
 def free_name(df: DataFrame, base: str) -> str:
     """base, with underscores added until no column of df has that name (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -5,7 +5,7 @@ share of the tokens, tokens_s the source's own and T the most tokens that the we
 document: the least of tokens_s / w_s over the sources that hold at least SMALL of all tokens. Smaller ones set no bound
 and are taken whole where the weights ask for more than they have, so a stray source doesn't shrink the others. Without
 given weights w_s is proportional to tokens_s ** ALPHA, which holds a dominant source back; the default keeps most of
-the input (92 % of the tokens of the pipeline's input in the check's tables). In each source the cube method (Deville and
+the input (92 % of the documents that reach the pipeline's stage in the check's tables). In each source the cube method (Deville and
 Tillé, 2004) then moves the probabilities along the null space of two constraints, the number of documents and the number
 of tokens: of three undecided documents a step leaves both totals as they are and decides at least one. The flight runs
 in chunks of about CHUNK documents, whose at most two undecided ones go on to the next level, until every source is one
