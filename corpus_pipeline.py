@@ -6,7 +6,7 @@ last return the columns of documents; the last adds shard_id.
 Every stage takes a table of any columns with doc_id and text (mixing and sharding use source too, the classifier the
 table labels, decontamination the table benchmark), keeps the other columns as they are, whatever their names and types,
 and gives an empty table for an empty one. A doc_id that is no whole number counts as null. Texts of any length are read
-whole. run() deletes what a stage wrote once the next but one is written; the last stage's table stays for the caller.
+whole. run() deletes what a stage wrote once the next one is written; the last stage's table stays for the caller.
 """
 
 from __future__ import annotations
