@@ -120,3 +120,33 @@ def go_diagnostics(spark, d):
     files = table(spark, d, "part").select(F.concat(F.lit("e/f"), F.col("p_partkey").cast("string"), F.lit(".go")).alias("path"), text.alias("text"))
     wrong = parse.parsed(files, parse.default_rules()).where("error is not null").select("path", F.explode("errors").alias("e"))
     return wrong.select("path", "e.line", "e.col", "e.message")
+
+
+_SCOPES = ["s/f", "s/examples/f", "s/testdata/f", "cmd/x/f", "t/f", "s/internal/f", "m/f", "example/f", "a/vendor/f", "g/f"]
+_SCOPE_PATH = "concat(" + "CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_SCOPES)) + " END, CAST(p_partkey AS {0}), CASE WHEN p_partkey % 10 = 4 THEN '_test.go' ELSE '.go' END)"
+_SCOPE_RULES = ["maintainability.production-panic", "docs.exported-symbol-comment", "docs.suppression-without-rationale"]
+
+
+@query(f"""WITH f AS (SELECT {_SCOPE_PATH.format('VARCHAR')} AS file, p_partkey % 10 AS k, CASE WHEN p_partkey % 10 = 9 THEN 1 ELSE 0 END AS head FROM part)
+SELECT file, '{_SCOPE_RULES[0]}' AS rule_id, CAST(3 + head AS INT) AS line, CAST(12 AS INT) AS col FROM f WHERE k NOT IN (1, 2, 3, 4, 6, 7)
+UNION ALL SELECT file, '{_SCOPE_RULES[1]}', CAST(5 + head AS INT), CAST(0 AS INT) FROM f WHERE k NOT IN (4, 5)
+UNION ALL SELECT file, '{_SCOPE_RULES[2]}', CAST(7 + head AS INT), CAST(11 AS INT) FROM f WHERE k NOT IN (8, 9)""")
+def go_path_scopes(spark, d):
+    """The same text in production code, examples, test data, commands, tests, internal and vendored folders, a main package and a generated file."""
+    k = F.col("p_partkey") % 10
+    text = F.concat(F.when(k == 9, "// Code generated by hand.\n").otherwise(""), F.lit("package "), F.when(k == 6, "main").otherwise("s"), F.lit('\n\nfunc f() { panic("no") }\n\nfunc Open() {}\n\nvar x = 1 //nolint:errcheck\n'))
+    files = table(spark, d, "part").select(F.expr(_SCOPE_PATH.format("STRING")).alias("path"), text.alias("text"))
+    return parse.raw_findings(parse.parsed(files, {r: Options(CATALOGUE[r]) for r in _SCOPE_RULES})).select("file", "rule_id", "line", "col")
+
+
+_QUIET = ["", "//nolint", "//nolint:funlen", "//nolint:gosec,all // why", "//nolint:gosec", "// nolint:funlen", "// says nolint"]
+
+
+@query(f"SELECT concat('q/f', p_partkey, '.go') AS file, CAST(CASE WHEN p_partkey % {len(_QUIET)} = 0 THEN 3 ELSE 4 END AS INT) AS line, CAST(CASE WHEN p_partkey % {len(_QUIET)} = 0 THEN 3 ELSE 4 END + 2 + p_size % 3 AS INT) AS end_line, CAST(3 + p_size % 3 AS BIGINT) AS metric FROM part WHERE p_partkey % {len(_QUIET)} IN (0, 4, 6) AND p_size % 3 > 0")
+def go_quiet_functions(spark, d):
+    """Functions longer than allowed, but for those whose comment says nolint for their length."""
+    note = F.get(F.array(*[F.lit(x + "\n" if x else "") for x in _QUIET]), (F.col("p_partkey") % len(_QUIET)).cast("int"))
+    text = F.concat(F.lit("package q\n\n"), note, F.lit("func f() {\n"), F.repeat(F.lit("\tg()\n"), 1 + F.col("p_size") % 3), F.lit("}\n"))
+    files = table(spark, d, "part").select(F.concat(F.lit("q/f"), F.col("p_partkey").cast("string"), F.lit(".go")).alias("path"), text.alias("text"))
+    rule = "size.function-length"
+    return parse.raw_findings(parse.parsed(files, {rule: Options(CATALOGUE[rule], {"maxLines": 3})})).select("file", "line", "end_line", "metric")

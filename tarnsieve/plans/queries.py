@@ -13,7 +13,7 @@ from tarnsieve.plans.gotext import GO_QUERIES, GO_SQL
 from tarnsieve.functions import text as tx
 from tarnsieve.rules.base import CATALOGUE
 from tarnsieve.shared import cut as persist
-from tarnsieve.sinks import formats
+from tarnsieve.sinks import formats, report
 from tarnsieve.sources import tree
 from tarnsieve.sources.patches import hunks
 
@@ -224,13 +224,28 @@ def sink_annotations(spark, d):
     return _findings(spark, d).select(formats.annotation().alias("annotation"))
 
 
-@query(f"WITH {_V} SELECT fingerprint, CASE severity WHEN 'error' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END AS level, CASE WHEN line > 0 THEN line END AS start_line, CAST(dense_rank() OVER (ORDER BY rule_id) - 1 AS INT) AS rule_index FROM v")
+@query(f"WITH {_V} SELECT fingerprint, CASE severity WHEN 'error' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END AS level, CASE WHEN line > 0 THEN line END AS start_line, CAST(dense_rank() OVER (ORDER BY rule_id) - 1 AS INT) AS rule_index, replace(file, chr(92), '/') AS uri FROM v")
 def sink_sarif_results(spark, d):
     # as in a report, whose rules are known before its findings
     rules = spark.createDataFrame([(r,) for r in views.RULES], "rule_id string").coalesce(1)
     x = formats.sarif_results(_findings(spark, d), formats.rule_index(rules))
     r = F.col("result")
-    return x.select(r["partialFingerprints"]["primary"].alias("fingerprint"), r["level"].alias("level"), r["locations"][0]["physicalLocation"]["region"]["startLine"].alias("start_line"), r["ruleIndex"].alias("rule_index"))
+    return x.select(r["partialFingerprints"]["primary"].alias("fingerprint"), r["level"].alias("level"), r["locations"][0]["physicalLocation"]["region"]["startLine"].alias("start_line"), r["ruleIndex"].alias("rule_index"), r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"].alias("uri"))
+
+
+@query(f"WITH {_V} SELECT concat(file, CASE WHEN line > 0 THEN concat(':', line, CASE WHEN col > 0 THEN concat(':', col) ELSE '' END) ELSE '' END, ' [', severity, '] ', rule_id, ': ', message) AS said FROM v")
+def sink_text_lines(spark, d):
+    return _findings(spark, d).select(formats.text_line().alias("said"))
+
+
+@query(f"WITH {_V} SELECT rule_id, file, line, end_line, severity, message, fingerprint FROM v")
+def sink_json_lines(spark, d):
+    """Findings as the lines of JSON that write_table() writes, read again."""
+    shape = "ruleId string, file string, location struct<line:int,column:int,endLine:int>, severity string, message string, fingerprint string"
+    f = _findings(spark, d).withColumns({"secondary_pillars": F.array().cast("array<string>"), "remediation": F.lit("")})
+    x = f.select(F.from_json(report.finding_json(), shape).alias("j"), "end_line")
+    # a finding without a line has no location, and so no last line either
+    return x.select(F.col("j.ruleId").alias("rule_id"), "j.file", F.coalesce("j.location.line", F.lit(0)).alias("line"), F.coalesce("j.location.endLine", "end_line").alias("end_line"), "j.severity", "j.message", "j.fingerprint")
 
 
 # secrets in documents
@@ -301,6 +316,22 @@ def secrets_service_accounts(spark, d):
     return secrets.scan(files, {"gcp-service-account"}).select("file", "line", F.col("metadata")["secondaryLine"].alias("secondary_line"))
 
 
+#: Lines of a file, and whether each bears code.
+_COMMENTED = [
+    [("a", 1), ("/* b", 0), ("c", 0), ("d */", 0), ("e", 1)], [("// a", 0), ("b // c", 1), ("  // d", 0), ("e", 1)], [("/* a */ b", 1), ("/* c */", 0), ("d /* e", 1), ("f", 1)],
+    [("/* a", 0), ("b */ c", 1), ("d", 1)], [("a #nosec", 0), ("b //nolint:gosec", 0), ("c //nolint:errcheck", 1), ("d //nolint:errcheck,all", 0)], [("/* a", 0), ("// b", 0), ("*/", 0), ("/* c */ // d", 1), ("", 1)],
+]
+_BEARING = ", ".join(f"({i}, {n}, {bears})" for i, rows in enumerate(_COMMENTED) for n, (_, bears) in enumerate(rows, 1))
+
+
+@query(f"SELECT concat('c/f', p_partkey) AS path, CAST(n AS INT) AS line_no, bears = 1 AS bears FROM part JOIN (VALUES {_BEARING}) AS x(i, n, bears) ON p_partkey % {len(_COMMENTED)} = i")
+def text_code_bearing(spark, d):
+    """Whether lines bear code: block comments over lines, line comments, comments with code after them, and suppressions."""
+    texts = F.array(*[F.lit("\n".join(x for x, _ in rows)) for rows in _COMMENTED])
+    files = views.table(spark, d, "part").select(F.concat(F.lit("c/f"), F.col("p_partkey").cast("string")).alias("path"), F.get(texts, (F.col("p_partkey") % len(_COMMENTED)).cast("int")).alias("text"))
+    return secrets.code_bearing(secrets.lines(files)).select("path", "line_no", "bears")
+
+
 # lines, names and paths
 
 

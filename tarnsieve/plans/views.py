@@ -31,8 +31,17 @@ PENALTY_SQL = "CASE severity WHEN 'advisory' THEN 1 WHEN 'warning' THEN CASE con
 GRADE_SQL = "CASE WHEN {0} >= 90 THEN 'A' WHEN {0} >= 80 THEN 'B' WHEN {0} >= 70 THEN 'C' WHEN {0} >= 60 THEN 'D' ELSE 'F' END"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan of fewer parts than there are cores, as a file of one row group is, dealt out to all of them by its first column.
+
+    Columns and filters still reach the file. A table of many row groups is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, scan.columns[0]) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str, source: str) -> DataFrame:
