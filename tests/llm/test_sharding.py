@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from tarnsieve.llm import common
 from tarnsieve.llm import sharding as s
 from tests.llm.cases import SCHEMA, empty, odd_columns, prose, same_rows, weird
 
@@ -89,3 +90,36 @@ def test_any_columns(spark):
 def test_ids_that_are_no_numbers(spark):
     d = spark.createDataFrame([("x", prose(1), "a"), ("7", prose(2), "a"), (None, prose(1), "a")], "doc_id string, text string, source string")
     assert [r.doc_id for r in sorted(s.shard(d, 10).collect(), key=lambda r: r.shard_id)][-1] == "7"
+
+
+def brute(keys, target):
+    """Shard of each (key, size, draw) by plain lists: the loop of samples, quantiles and measures."""
+    cuts, density = [], s.SAMPLES
+    over = {0: sum(size for _, size, _ in keys)} if keys else {}
+    over = {r: b for r, b in over.items() if b > s.SLACK * target}
+    where = lambda key: sum(c <= key for c in cuts)
+    while over:
+        new = []
+        for r, b in over.items():
+            mine = [(key, size, min(1.0, size * float(density) / target)) for key, size, u in keys if where(key) == r and u < min(1.0, size * float(density) / target)]
+            new += s.quantiles([k for k, _, _ in mine], np.array([size / p for _, size, p in mine]), max(2, round(b / target)))
+        cuts = sorted({*cuts, *new})
+        ranges = {}
+        for key, size, _ in keys:
+            ranges.setdefault(where(key), []).append(size)
+        over = {r: sum(v) for r, v in ranges.items() if sum(v) > s.SLACK * target and len(v) > 1}
+        density *= 2
+    first = min((where(k) for k, _, _ in keys), default=0)
+    return {key: where(key) - first for key, _, _ in keys}
+
+
+@pytest.mark.parametrize("target", [700, 9_000])
+def test_query_against_brute_force(spark, target):
+    d = corpus(spark, 250).union(spark.createDataFrame([(None, "x" * 900, None, None, None), (3, None, "a", None, None), (3, None, "a", None, None)], SCHEMA))
+    p = common.Plain(d)
+    rows = p.df.select(s._key(p).alias("key"), s._size(p).alias("size"), p.long("doc_id").alias("doc_id"), p.col("source").alias("source"))
+    keys = rows.groupBy("key", "doc_id", "source").agg(s.F.sum("size").alias("size")).withColumn("u", s.F.xxhash64("key", s.F.lit(s.SEED)).cast("double") / 2.0**64 + 0.5).collect()
+    want = brute([(bytes(r.key), r.size, r.u) for r in keys], target)
+    mine = {(r.source, r.doc_id): want[bytes(r.key)] for r in keys}
+    got = s.shard(d, target).collect()
+    assert len(got) == 253 and {(r.source, r.doc_id): r.shard_id for r in got} == mine and max(mine.values()) > 5
