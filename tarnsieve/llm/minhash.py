@@ -86,13 +86,17 @@ def band_keys(m: np.ndarray) -> np.ndarray:
 
 def equal_fields(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many of the fields agree between the signatures in the last axes of a and b."""
-    x = a ^ b
+    return PERMUTATIONS - _differing(a ^ b).sum(-1, dtype=np.int64)
+
+
+def _differing(x: np.ndarray) -> np.ndarray:
+    """Fields that aren't 0 in each of the lanes x, which it overwrites."""
     step = 1
     while step < BITS:
-        x = x | x >> np.uint64(step)
+        x |= x >> np.uint64(step)
         step *= 2
     x &= np.uint64(sum(1 << BITS * j for j in range(_FIELDS)))
-    return PERMUTATIONS - np.bitwise_count(x).sum(-1, dtype=np.int64)
+    return np.bitwise_count(x)
 
 
 def similarity(equal: np.ndarray) -> np.ndarray:
@@ -152,20 +156,26 @@ def bucket_edges(ids: np.ndarray, sigs: np.ndarray, threshold: float, roots: np.
     need = _needed(threshold)
     _, root = np.unique(ids if roots is None else roots, return_inverse=True)
     # the largest component's members meet all others when those are tested
-    rest = np.flatnonzero(root != np.bincount(root).argmax())
-    out: list[tuple[int, int]] = []
+    rest = root != np.bincount(root).argmax()
+    sides = [np.arange(len(ids))] if right is None else [np.flatnonzero(~right), np.flatnonzero(right)]
+    # half of the fields rule nearly all pairs out: what they miss at most is known
+    half = _LANES // 2
+    most = PERMUTATIONS - need  # fields that may differ
+    fronts = [np.ascontiguousarray(sigs[side, :half].T) for side in sides]
     open_ = np.ones(len(ids), bool)
-    for x in rest:
-        open_[x] = False
-        other = (root != root[x]) & open_
-        if right is not None:
-            other &= right != right[x]
-        i = np.flatnonzero(other)
-        i = i[equal_fields(sigs[i], sigs[x]) >= need]
-        if len(i):
-            joined, lead = np.unique(root[i], return_index=True)
-            out += [(int(ids[x]), int(ids[i[y]])) for y in lead]
-            root[np.isin(root, joined)] = root[x]
+    out: list[tuple[int, int]] = []
+    for mine, theirs, front in zip(sides, sides[::-1], fronts[::-1]):
+        for x in mine[rest[mine]]:
+            open_[x] = False
+            can = open_[theirs]
+            if not can.any():
+                break
+            i = theirs[can & (root[theirs] != root[x]) & (_differing(front ^ sigs[x, :half, None]).sum(0, dtype=np.int16) <= most)]
+            i = i[equal_fields(sigs[i], sigs[x]) >= need]
+            if len(i):
+                joined, lead = np.unique(root[i], return_index=True)
+                out += [(int(ids[x]), int(ids[i[y]])) for y in lead]
+                root[np.isin(root, joined)] = root[x]
     return out
 
 
