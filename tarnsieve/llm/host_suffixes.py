@@ -298,3 +298,30 @@ def extract(pages: DataFrame, run: int = RUN, slice_bytes: int = SLICE_BYTES, bu
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(common.load(spark, sf_dir, "pages"))
+
+
+def _sql() -> str:
+    """The same by windows of RUN tokens. Of entities it knows those that the tables have."""
+    inline = "a|abbr|b|bdi|bdo|cite|code|em|font|i|kbd|mark|q|s|small|span|strong|sub|sup|u|wbr"
+    skipped = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(rf"<{x}\b.*?(?:</{x}\s*>|\z)" for x in ("script", "style", "noscript", "template"))
+    tag = """<[a-zA-Z/!?](?:[^<>"']+|"[^"<]*"|'[^'<]*')*>|<[a-zA-Z/!?][^<>]+>""".replace("'", "''")
+    text = f"regexp_replace(html, '{skipped}', ' ', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '(?i)</?(?:{inline})\\b[^<>]*>', '', 'g'), '{tag}', chr(10), 'g')"
+    for entity, value in (("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&lt;", "<"), ("&gt;", ">")):
+        text = f"replace({text}, '{entity}', '{value}')"
+    text = f"regexp_replace({text}, '&amp;?', '&', 'g')"
+    window = ", ".join(f"lead(w, {j}) OVER o" if j else "w" for j in range(RUN))
+    return f"""WITH p AS (SELECT row_number() OVER () AS rid, page_id, html, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '')) AS host, {text} AS text FROM pages),
+t AS (SELECT rid, host, html, regexp_extract_all(replace(text, chr(10), concat(' ', chr(1), ' ')), '[^ \\t\\n\\r\\f\\v]+') AS parts FROM p),
+u AS (SELECT rid, host, html, unnest(parts) AS w, unnest(generate_series(1, len(parts))) AS n FROM t),
+k AS (SELECT rid, host, html, w, nl, row_number() OVER (PARTITION BY rid ORDER BY n) AS i FROM (SELECT *, lag(w) OVER (PARTITION BY rid ORDER BY n) = chr(1) AS nl FROM u) WHERE w <> chr(1)),
+x AS (SELECT * FROM (SELECT rid, host, html, i, [{window}] AS win, lead(w, {RUN - 1}) OVER o AS last FROM k WINDOW o AS (PARTITION BY rid ORDER BY i)) WHERE last IS NOT NULL),
+r AS (SELECT rid, i FROM x JOIN (SELECT host, win FROM x GROUP BY host, win HAVING count(DISTINCT html) > 1) USING (host, win)),
+c AS (SELECT DISTINCT rid, unnest(generate_series(i, i + {RUN - 1})) AS i FROM r),
+kept AS (SELECT rid, i, w, nl, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM k ANTI JOIN c USING (rid, i)),
+out AS (SELECT rid, string_agg(concat(CASE WHEN before IS NULL THEN '' WHEN before < i - 1 OR nl THEN chr(10) ELSE ' ' END, w), '' ORDER BY i) AS text FROM kept GROUP BY rid),
+n AS (SELECT rid, count(*) AS n FROM k GROUP BY rid), m AS (SELECT rid, count(*) AS m FROM c GROUP BY rid)
+SELECT page_id, host, coalesce(out.text, '') AS text, coalesce(n, 0) AS n_tokens, coalesce(m, 0) AS n_removed FROM p LEFT JOIN out USING (rid) LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)"""
+
+
+OP3_SQL = _sql()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnsieve.llm.decontaminate import op10_benchmark_decontamination
 from tarnsieve.llm.host_rules import OP9_SQL, op9_host_quality_rules
-from tarnsieve.llm.host_suffixes import op3_html_extraction
+from tarnsieve.llm.host_suffixes import OP3_SQL, op3_html_extraction
 from tarnsieve.llm.language_crf import op5_language_id
 from tarnsieve.llm.minhash import op7_minhash_near_dedup
 from tarnsieve.llm.mixing import op4_mixing_to_target_weights
@@ -41,6 +41,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_secret_scan": OP2_SQL,
+    "op3_html_extraction": OP3_SQL,
     "op6_warc_index_first": OP6_SQL,
     "op9_host_quality_rules": OP9_SQL,
 }

@@ -7,7 +7,7 @@ The combined automaton reads texts from their last byte to their first and tells
 begins: it is made of the reversed rules by position sets (Glushkov), subset construction over classes of equivalent
 bytes, and minimisation by partition refinement. Read backwards, a repeat counts only the run of bytes that it has just
 read, so that counts of 36 need some dozens of states; forwards every byte might begin another key, and the states would
-be millions. Rules whose runs multiply each other's states all the same go into up to a few parts of at most MOST_STATES
+multiply. Rules whose runs multiply each other's states all the same go into up to a few parts of at most MOST_STATES
 states each; their transition arrays lie in one array, and one pass over the bytes moves all parts at once. The pass
 knows matches exactly: no repeat is shortened, and no text or rule is only nominated.
 
