@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from tarnsieve.shared import cut, fresh_dir, remove, shared_dir  # noqa: F401  the operators have them from here
 
@@ -44,8 +45,12 @@ class Plain:
         return F.col(self._at[own.lower()])
 
     def long(self, own: str) -> Column:
-        """As a long; what is no whole number is null."""
-        return self.col(own).try_cast("long")
+        """As a long; what is no whole number is null, and so is anything but a number or a string."""
+        name = self._at[own.lower()]
+        c, kind = F.col(name), self.types[self.names.index(name)]
+        if isinstance(kind, (t.FractionalType, t.DecimalType)):
+            return F.when(c == F.floor(c), c.try_cast("long"))
+        return c.try_cast("long") if isinstance(kind, (t.IntegralType, t.StringType)) else F.lit(None).cast("long")
 
     def back(self, df: DataFrame, *added: str) -> DataFrame:
         return df.select(*self.names, *added).toDF(*self.own, *added)
@@ -97,8 +102,6 @@ def by_size(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> D
 
 def sortable(column: Column, kind) -> Column:
     """What rows can be sorted by: types without an order by their JSON text, with map keys in order."""
-    from pyspark.sql import types as t
-
     def orderless(x) -> bool:
         if isinstance(x, t.ArrayType):
             return orderless(x.elementType)

@@ -122,3 +122,13 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     out = p.run(spark, str(tmp_path)).collect()
     assert sorted(tuple(r)[:5] for r in out) == sorted(r for r in left if r[0] in kept)
     assert {r.shard_id for r in out} == {0}  # far below the target
+
+
+def test_ids_of_any_type(spark):
+    """Whole numbers in any numeric type or string are ids; all else is null."""
+    ids = {"cast(7 as int)": 7, "cast(7 as decimal(38,0))": 7, "cast(7.5 as double)": None, "7.0D": 7, "'7'": 7, "' x'": None, "cast('NaN' as double)": None, "1e30D": None, "date'2024-01-01'": None, "array(1)": None, "cast(null as string)": None, "x'07'": None}
+    for value, want in ids.items():
+        d = spark.sql(f"select {value} as doc_id, 'one two three' as text, 's' as source")
+        assert [r.doc_id for r in common.picked(d, "doc_id").collect()] == [want], value
+    d = spark.sql("select 7.5D as doc_id, 'one two three' as text, 's' as source, 'en' as lang")
+    assert minhash.deduplicate(d).count() == mixing.mix(d).count() == quality_cnn.filter_documents(d, None).count() == 1
