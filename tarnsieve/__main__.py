@@ -1,4 +1,4 @@
-"""python -m tarnsieve analyse|summary|report|baseline|list-rules|init [options] [paths]"""
+"""python -m tarnsieve analyse|summary|report|baseline|list-rules|init|dashboard [options] [paths]"""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from tarnsieve import config as cfg
+from tarnsieve import serve
 from tarnsieve.plans.engine import Engine
 from tarnsieve.rules.base import PILLARS
 from tarnsieve.sinks import report as sinks
@@ -21,7 +22,7 @@ def _words(x: str) -> list[str]:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tarnsieve")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("analyse", "summary", "report", "baseline", "list-rules", "init"):
+    for name in ("analyse", "summary", "report", "baseline", "list-rules", "init", "dashboard"):
         s = sub.add_parser(name)
         s.add_argument("--config")
         s.add_argument("--no-config", action="store_true")
@@ -32,6 +33,17 @@ def parser() -> argparse.ArgumentParser:
         if name == "list-rules":
             s.add_argument("--format", default="text", choices=["text", "json"])
             continue
+        if name == "dashboard":
+            s.add_argument("paths", nargs="*")
+            s.add_argument("--host", default=serve.HOST)
+            s.add_argument("--port", type=int, default=serve.PORT)
+            s.add_argument("--scan-timeout", type=float, default=serve.TIMEOUT)
+            s.add_argument("--baseline", default="")
+            s.add_argument("--fail-on", default="", choices=["", "advisory", "warning", "error", "none"])
+            s.add_argument("--editor", default="none", choices=[*sinks.EDITORS])
+            for x in ("no-baseline", "include-ignored", "diff", "interactive", "allow-public"):
+                s.add_argument(f"--{x}", action="store_true")
+            continue
         s.add_argument("--format", default={"report": "html"}.get(name, "text"))
         s.add_argument("paths", nargs="*")
         s.add_argument("--include-ignored", action="store_true")
@@ -73,6 +85,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 f.write(cfg.render(config))
             return 0
         spark = spark or SparkSession.builder.appName("tarnsieve").getOrCreate()
+        if a.command == "dashboard":
+            d = serve.Defaults(a.root, a.paths, a.config or "", a.no_config, a.baseline, a.no_baseline, a.include_ignored, a.diff, a.fail_on, a.interactive, a.editor, a.scan_timeout)
+            return serve.serve(spark, d, a.host, a.port, a.allow_public)
         engine = Engine(spark, a.root, config)
         if a.command == "list-rules":
             rules = engine.rules().orderBy("id").collect()

@@ -4,6 +4,7 @@ import subprocess
 import pytest
 
 from tarnsieve import config as cfg
+from tarnsieve import serve
 from tarnsieve.__main__ import main
 from tarnsieve.plans.engine import Engine
 from tarnsieve.sinks import report as sinks
@@ -247,3 +248,46 @@ def test_command_line_forms(spark, project, capsys):
 
 def test_durations():
     assert [sinks.duration(x) for x in (0.0001, 0.2456, 3.44, 125.04)] == ["<1ms", "245ms", "3.4s", "2m 5.0s"]
+
+
+def test_dashboard(spark, project):
+    import threading
+    from urllib.error import HTTPError
+    from urllib.parse import urlencode
+    from urllib.request import Request, urlopen
+
+    (project / "bad/x.go").unlink()
+    d = serve.Defaults(root=str(project), editor="vscode")
+    s = serve.server(spark, d, port=0)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{s.server_address[1]}"
+
+    def get(path):
+        with urlopen(at + path, timeout=100) as r:
+            return r.read().decode()
+
+    try:
+        form = get("/?paths=%3Cb%3E")
+        assert f"value='{project}'" in form and "&lt;b&gt;" in form and "<option selected>none</option>" in form
+        page = get("/scan?" + urlencode({"failOn": "error", "interactive": "1"}))
+        assert "exit 1, " in page and "--fail-on error" in page and "placeholder=filter" in page and SECRET not in page and "vscode://file/" in page
+        assert "exit 0, " in get("/scan")
+        assert "exit 2, " in get("/scan?config=none.yaml")
+        for path, method, code in (("/x", "GET", 404), ("/scan", "POST", 405), ("/", "DELETE", 405)):
+            with pytest.raises(HTTPError) as e:
+                urlopen(Request(at + path, method=method), timeout=20)
+            assert e.value.code == code
+        d.timeout = 0.001
+        assert "exit 124, " in get("/scan")
+    finally:
+        s.shutdown()
+        s.server_close()
+
+
+def test_dashboard_stays_at_home(spark, project):
+    assert [serve.loopback(h) for h in ("127.0.0.1", "::1", "localhost", "127.9.9.9", "0.0.0.0", "example.org")] == [True] * 4 + [False] * 2
+    with pytest.raises(ValueError, match="loopback"):
+        serve.server(spark, serve.Defaults(), "0.0.0.0", 0)
+    assert main(["dashboard", "--host", "0.0.0.0", "--root", str(project)], spark) == 2
+    s = serve.Defaults(root=str(project), diff=True, paths=["a", "b c"], baseline="b.json", include_ignored=True, fail_on="error").asked("noConfig=1&paths=x")
+    assert serve.command_of(s) == f"python -m tarnsieve analyse --format html --root {project} --no-config --baseline b.json --diff HEAD --include-ignored --fail-on error x"
