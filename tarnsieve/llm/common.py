@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
-from tarnsieve.shared import cut, fresh_dir, remove, shared_dir  # noqa: F401  the operators have them from here
+from tarnsieve.shared import BROADCAST_BYTES, cut, fresh_dir, remove, shared_dir  # noqa: F401  the operators have them from here
 
-#: Bytes up to which a table of row units is broadcast; beyond, the join shuffles.
-BROADCAST_BYTES = 32 << 20
 #: What a unit (two longs and a count) takes in a broadcast relation, generously.
 UNIT_BYTES = 48
 

@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes up to which the small side of a join is broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,3 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared folder: what follows neither repeats the work nor depends on one executor's disk."""
     shared_dir(df.sparkSession)
     return df.checkpoint(True)
+
+
+def sized(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """table as the small side of a join: broadcast where its counted size allows it, else merged after a shuffle.
+
+    It is counted first, so it should be cut(), or cheap. Either way the optimizer, which knows no size of a table made
+    of rows and too small a one of exploded columns, doesn't broadcast the other side.
+    """
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in table.dtypes if kind == "string"]
+    size = table.agg(F.sum(sum(texts, F.lit(16 * (1 + len(table.columns)))))).first()[0] or 0
+    return F.broadcast(table) if size <= limit else table.hint("merge")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsieve.shared import cut
+from tarnsieve.shared import cut, sized
 from tarnsieve.sources import tree
 
 _RULES = "path string, dir string, position int, regex string, negated boolean, dirs_only boolean, bad boolean"
@@ -101,7 +101,7 @@ def discover(spark: SparkSession, root: str, ignore: list[str] | None = None, in
     hidden = tree.gitignored(names.withColumn("is_dir", F.lit(False)), rules.where("regex is not null").select("dir", "position", "regex", "negated", "dirs_only"))
     # ignore files above a folder of dependencies or output switch the fallback off, not those within
     above = names.select("path", F.explode(tree.ancestors(F.col("path"))).alias("dir")).where(~F.arrays_overlap(F.split("dir", "/"), F.array(*(F.lit(x) for x in sorted(tree.FALLBACK)))))
-    led = above.join(rules.select("dir").distinct(), "dir").select(F.col("path").alias("led")).distinct()
+    led = above.join(sized(rules.select("dir").distinct()), "dir").select(F.col("path").alias("led")).distinct()
     told = hidden.join(led, F.col("path") == F.col("led"), "left")
     reason = tree.folder_reason(F.col("path"), F.col("led").isNull())
     config = F.when(tree.config_ignored(F.col("path"), ignore), "config-ignore")
@@ -114,5 +114,5 @@ def discover(spark: SparkSession, root: str, ignore: list[str] | None = None, in
     shut = everything.where("is_dir and not enter").select("path", F.when(base.isin(*sorted(tree.VCS)), "vcs").otherwise("non-application-metadata").alias("reason"))
     wrong = rules.where("bad").select("path", F.lit("gitignore-parse-error").alias("reason")).distinct()
     skipped = skipped.unionByName(shut) if include_ignored else skipped.unionByName(shut).unionByName(wrong)
-    modules = texts(names.where(base == "go.mod"), root).select(F.regexp_replace("path", "/?go\\.mod$", "").alias("dir"), tree.go_directive(F.col("text")).alias("version"))
+    modules = cut(texts(names.where(base == "go.mod"), root).select(F.regexp_replace("path", "/?go\\.mod$", "").alias("dir"), tree.go_directive(F.col("text")).alias("version")))
     return tree.nearest(marked.where(~made).select("path", "type", "text"), modules), skipped

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnsieve.functions.paths import PatternError, matches_any, path_regex, segment_regex
+from tarnsieve.shared import BROADCAST_BYTES, sized
 
 VCS = frozenset([".svn", ".hg", ".git"])
 _METADATA = frozenset([".github", ".codex", ".claude", ".agents"])
@@ -238,28 +239,37 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
 
 
-def gitignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
+def gitignored(paths: DataFrame, rules: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """path, is_dir -> path, is_dir, ignored, by ignore files given as a table (dir, position, regex, negated, dirs_only).
 
     Each path and each folder above it is matched against the rules of the folders above that; the last one that
     matches decides (the deepest folder, then the latest position), and a path is ignored if it or a folder above is.
+    Rules up to limit bytes are broadcast, and paths are then shuffled once; rules are counted, so they should be cut() or cheap.
     """
-    p = paths.select("path", "is_dir").distinct()
-    each = p.select("path", "is_dir", F.explode(F.array_append(F.filter(ancestors(F.col("path")), lambda a: a != ""), F.col("path"))).alias("candidate"))
-    each = each.withColumn("as_dir", F.col("is_dir") | (F.col("candidate") != F.col("path")))
+    # one key of both: a constant is_dir would be taken out of the partitioning, and each step would shuffle again
+    # (a number of parts, since paths are small before they are exploded: by their size they would all be put into a few tasks)
+    n = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = paths.select(F.struct("path", "is_dir").alias("p")).repartition(n, "p").distinct()
+    path = F.col("p.path")
+    each = p.select("p", F.explode(F.array_append(F.filter(ancestors(path), lambda a: a != ""), path)).alias("candidate"))
+    each = each.withColumn("as_dir", F.col("p.is_dir") | (F.col("candidate") != path))
     hosts = each.select("*", F.explode(ancestors(F.col("candidate"))).alias("dir"))
-    r = rules.select(F.col("dir").alias("r_dir"), "position", "regex", "negated", "dirs_only")
+    r = sized(rules.select(F.col("dir").alias("r_dir"), "position", "regex", "negated", "dirs_only"), limit)
     rel = F.when(F.col("dir") == "", F.col("candidate")).otherwise(F.expr("substring(candidate, length(dir) + 2)"))
-    hit = hosts.join(r, (F.col("dir") == F.col("r_dir")) & (F.col("as_dir") | ~F.col("dirs_only"))).where(F.rlike(rel, F.col("regex")))
-    verdict = hit.groupBy("path", "is_dir", "candidate").agg(F.max_by(~F.col("negated"), F.struct(F.length("dir"), "position")).alias("v"))
-    out = verdict.groupBy("path", "is_dir").agg(F.bool_or("v").alias("ignored"))
-    return p.join(out, ["path", "is_dir"], "left").select("path", "is_dir", F.coalesce("ignored", F.lit(False)).alias("ignored"))
+    # a left join keeps paths without a rule, which then needn't be joined to the verdicts
+    hit = hosts.join(r, (F.col("dir") == F.col("r_dir")) & (F.col("as_dir") | ~F.col("dirs_only")) & F.rlike(rel, F.col("regex")), "left")
+    place = F.length("dir").cast("long") * (1 << 32) + F.col("position")
+    verdict = hit.groupBy("p", "candidate").agg(F.max_by(~F.col("negated"), place).alias("v"))
+    return verdict.groupBy("p").agg(F.coalesce(F.bool_or("v"), F.lit(False)).alias("ignored")).select("p.path", "p.is_dir", "ignored")
 
 
-def nearest(files: DataFrame, modules: DataFrame) -> DataFrame:
-    """files with go_version of the nearest module file above them (dir, version); the nearest decides even without a version."""
+def nearest(files: DataFrame, modules: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """files with go_version of the nearest module file above them (dir, version); the nearest decides even without a version.
+
+    modules are counted (sized()), so they should be cut() or cheap.
+    """
     above = files.select("path", F.explode(ancestors(F.col("path"))).alias("dir"))
-    m = modules.select("dir", "version")
+    m = sized(modules.select("dir", "version"), limit)
     best = above.join(m, "dir").groupBy("path").agg(F.max_by(F.struct("version"), F.length("dir")).alias("v"))
     parts = F.regexp_extract(F.col("v.version"), r"^(\d+)\.(\d+)", 1), F.regexp_extract(F.col("v.version"), r"^(\d+)\.(\d+)", 2)
     version = F.when(parts[1] != "", F.struct(parts[0].cast("int").alias("major"), parts[1].cast("int").alias("minor")))

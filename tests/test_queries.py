@@ -1,6 +1,7 @@
 import pytest
 
 from tarnsieve.plans.queries import ORACLE_SQL, QUERIES
+from tarnsieve.sources import tree
 from tests.oracle import DATA, same
 
 
@@ -25,3 +26,23 @@ def test_line_rules_stay_in_the_jvm(spark):
 def test_narrowing_is_a_semi_join_on_the_file(spark):
     plan = QUERIES["diff_changed_lines"](spark, DATA)._jdf.queryExecution().toString()
     assert "LeftSemi" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+@pytest.mark.parametrize("name", ["paths_gitignored", "paths_nearest_module"])
+def test_rules_are_broadcast_and_never_the_paths(spark, name):
+    """The optimizer takes exploded folders for small: the driver then held all paths of the table."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildLeft" not in plan and plan.count("BuildRight") == 1
+
+
+def test_ignored_paths_by_rules_too_large_to_broadcast(spark):
+    rows = [("", 0, r"^[^/]*\.log$", False, False), ("a", 0, "^keep$", True, False), ("", 1, "^(?:.*/)?out$", False, True), ("a/b", 0, "^x$", False, False), ("a/b", 1, "^x$", True, False)]
+    rules = spark.createDataFrame(rows, "dir string, position int, regex string, negated boolean, dirs_only boolean")
+    paths = spark.createDataFrame([("1.log", False), ("a/out", True), ("a/out", False), ("a/out/1.go", False), ("a/b/x", False), ("c", False), ("1.log", False)], "path string, is_dir boolean")
+    want = [("1.log", False, True), ("a/b/x", False, False), ("a/out", False, False), ("a/out", True, True), ("a/out/1.go", False, True), ("c", False, False)]
+    for limit in (1 << 20, 0):
+        assert sorted(map(tuple, tree.gitignored(paths, rules, limit).collect())) == want
+    assert "SortMergeJoin" in tree.gitignored(paths, rules, 0)._jdf.queryExecution().sparkPlan().toString()
+    modules = spark.createDataFrame([("", "1.22"), ("a", None)], "dir string, version string")
+    for limit in (1 << 20, 0):
+        assert sorted((r.path, r.go_version and tuple(r.go_version)) for r in tree.nearest(paths.select("path").distinct(), modules, limit).collect()) == [("1.log", (1, 22)), ("a/b/x", None), ("a/out", None), ("a/out/1.go", None), ("c", (1, 22))]
