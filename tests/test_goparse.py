@@ -1,7 +1,7 @@
 import pytest
 
 from tarnsieve.goparse.lexer import GoSyntaxError
-from tarnsieve.goparse.syntax import parse, walk
+from tarnsieve.goparse.syntax import MAX_DEPTH, parse, walk
 
 WIDE = """package p
 type A[T any, U ~int | string] struct {
@@ -94,3 +94,30 @@ def test_long_chains_are_fine():
     parse("package p\nvar x = 1" + " + 1" * 30_000)
     parse("package p\nfunc f() { if a {} " + "else if b {} " * 5_000 + "}")
     parse("package p\nvar x = a" + ".b()" * 20_000)
+
+
+def test_open_parentheses_are_a_loop():
+    """A level of parentheses costs no frames: with few of them left, thousands of levels parse as they did."""
+    import sys
+
+    depth, limit = 0, sys.getrecursionlimit()
+    frame = sys._getframe()
+    while frame:
+        depth, frame = depth + 1, frame.f_back
+    sys.setrecursionlimit(depth + 200)
+    try:
+        n = 5000
+        tree, _, _ = parse("package e\n\nvar x = a * " + "(" * n + "b" + ").c" * n + " + d\n")
+        e = tree.Decls[0].Specs[0].Values[0]
+        assert (e.Op, e.X.Op, e.Y.Name) == ("+", "*", "d")
+        x, seen = e.X.Y, []
+        while x.kind != "Ident":
+            assert x.kind == "SelectorExpr" and x.Sel.Name == "c" and x.X.kind == "ParenExpr"
+            seen.append(x.X.pos)
+            x = x.X.X
+        assert seen == list(range(23, 23 + n)) and x.Name == "b"
+        with pytest.raises(GoSyntaxError) as wrong:
+            parse("package e\n\nfunc f() { x = -" + "(" * (MAX_DEPTH + 1) + "\nfunc g() { a b }\n")
+        assert [(w.line, w.column, w.message) for w in wrong.value.all] == [(3, 15 + MAX_DEPTH, "exceeded max nesting depth"), (4, 14, "expected ';', found 'b'")]
+    finally:
+        sys.setrecursionlimit(limit)
