@@ -42,13 +42,16 @@ def on_changed_lines(findings: DataFrame, changed: DataFrame, files: DataFrame |
 
     changed: file, first, last. files: all changed files (with deletions alone too), by default those of changed.
     """
-    c = changed.select(F.col("file").alias("c_file"), F.col("first"), F.col("last"))
+    whole = F.lit(files is None).alias("whole")
+    c = changed.select(F.col("file").alias("c_file"), "first", "last", whole)
+    if files is not None:
+        none = F.lit(None).cast("int")
+        c = c.unionByName(files.select(F.col("file").alias("c_file"), none.alias("first"), none.alias("last"), F.lit(True).alias("whole")))
+    # one join for both kinds of findings, each of which is then shuffled once
     placed = F.coalesce("line", F.lit(0)) > 0
     last = F.greatest(F.col("line"), F.coalesce("end_line", F.lit(0)))
-    inside = findings.where(placed).join(c, (F.col("file") == F.col("c_file")) & (F.col("line") <= F.col("last")) & (last >= F.col("first")), "left_semi")
-    names = (files if files is not None else changed).select(F.col("file").alias("c_file"))
-    whole = findings.where(~placed).join(names, F.col("file") == F.col("c_file"), "left_semi")
-    return inside.unionByName(whole)
+    inside = placed & (F.col("line") <= F.col("last")) & (last >= F.col("first"))
+    return findings.join(c, (F.col("file") == F.col("c_file")) & (inside | (~placed & F.col("whole"))), "left_semi")
 
 
 def without_orphans(findings: DataFrame) -> DataFrame:

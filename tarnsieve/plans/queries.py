@@ -208,10 +208,12 @@ def composite_hotspots(spark, d):
 SELECT g.file, g.symbol FROM g JOIN changed USING (file) WHERE EXISTS (SELECT 1 FROM (SELECT unnest(g.underlying) AS fp) u JOIN alive ON alive.fingerprint = u.fp)""")
 def composite_without_orphans(spark, d):
     """Composites after the narrowing to changed lines, without those whose evidence is gone."""
-    f, c = persist(_findings(spark, d)), persist(views.changed(spark, d))  # each is read several times
+    # read several times, so kept, but not the columns that nothing below reads
+    f = persist(_findings(spark, d).select("rule_id", "pillar", "file", "symbol", "line", "end_line", "fingerprint"))
+    c = views.changed(spark, d)
     x = composites.god_functions(f).withColumn("fingerprint", fnd.fingerprint())
     cols = ["rule_id", "file", "symbol", "line", "end_line", "fingerprint", "underlying"]
-    both = f.select(*cols).unionByName(x.select(*cols))
+    both = f.withColumn("underlying", F.lit(None).cast("array<string>")).select(*cols).unionByName(x.select(*cols))
     left = suppression.without_orphans(persist(suppression.on_changed_lines(both, c)))
     return left.where("underlying is not null").select("file", "symbol")
 

@@ -46,3 +46,16 @@ def test_ignored_paths_by_rules_too_large_to_broadcast(spark):
     modules = spark.createDataFrame([("", "1.22"), ("a", None)], "dir string, version string")
     for limit in (1 << 20, 0):
         assert sorted((r.path, r.go_version and tuple(r.go_version)) for r in tree.nearest(paths.select("path").distinct(), modules, limit).collect()) == [("1.log", (1, 22)), ("a/b/x", None), ("a/out", None), ("a/out/1.go", None), ("c", (1, 22))]
+
+
+def test_narrowing_joins_once(spark):
+    """Findings with and without a line are told by one join, with files of deletions alone too."""
+    from tarnsieve.operators import suppression
+
+    f = spark.createDataFrame([(1, "a", 5, 0), (2, "a", 0, 0), (3, "a", None, None), (4, "b", 5, 9), (5, "b", None, 0), (6, "c", 0, 0), (7, "c", 1, 1), (8, "a", 9, 2)], "i int, file string, line int, end_line int")
+    changed = spark.createDataFrame([("a", 4, 5), ("a", 5, 5), ("b", 9, 9)], "file string, first int, last int")
+    files = spark.createDataFrame([("a",), ("c",), ("c",)], "file string")
+    for given, want in ((None, [1, 2, 3, 4, 5]), (files, [1, 2, 3, 4, 6])):
+        x = suppression.on_changed_lines(f, changed, given)
+        assert sorted(r.i for r in x.collect()) == want
+        assert x._jdf.queryExecution().sparkPlan().toString().count("LeftSemi") == 1
