@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,20 +18,29 @@ def from_git(root: str, base: str, paths: list[str] | None = None) -> str:
 def hunks(patches: DataFrame) -> DataFrame:
     """patches (patch_id, text) -> patch_id, file, first, last; a file of deletions alone has a row with nulls.
 
-    The file of a hunk is the last "+++" line before it; /dev/null stands for none.
+    The file of a hunk is the last "+++" line before it; /dev/null stands for none. Each row is read by itself, whatever
+    other rows have its patch_id: no shuffle, and a task holds one patch at a time.
     """
-    lines = patches.select("patch_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    head = lines.where(F.col("line").startswith("+++ ") | F.col("line").startswith("@@ "))
-    named = F.trim(F.expr("substring(line, 5)"))
-    name = F.when(F.col("line").startswith("+++ "), F.when(named == "/dev/null", "").otherwise(F.regexp_replace(named, "^b/", "")))
-    head = head.withColumn("file", F.last(name, True).over(Window.partitionBy("patch_id").orderBy("at")))
-    part = lambda g: F.regexp_extract("line", r"^@@ -[\d,]+ [+](\d+),?(\d*) @@", g)
-    n = F.when(part(2) == "", 1).otherwise(part(2).cast("int"))
-    rows = head.where("file <> ''").select("patch_id", "file", F.when(part(1) != "", part(1).cast("int")).alias("first"), F.when(part(1) != "", n).alias("n"))
-    spans = rows.where("n > 0").select("patch_id", "file", "first", (F.col("first") + F.col("n") - 1).alias("last"))
+    sections = F.filter(F.split(F.concat(F.lit("\n"), F.col("text")), r"\n(?=\+\+\+ )", -1), lambda s: s.startswith("+++ "))
+    part = lambda line, g: F.regexp_extract(line, r"^@@ -[\d,]+ [+](\d+),?(\d*) @@", g)
+
+    def span(line):
+        n = F.when(part(line, 2) == "", 1).otherwise(part(line, 2).cast("int"))
+        first = F.when(part(line, 1) != "", part(line, 1).cast("int"))
+        return F.struct(first.alias("first"), (first + n - 1).alias("last"))
+
+    def section(s):
+        named = F.trim(F.substring_index(F.substring(s, 5, 2147483647), "\n", 1))
+        spans = F.filter(F.transform(F.filter(F.split(s, "\n", -1), lambda x: x.startswith("@@ ")), span), lambda x: x["last"] >= x["first"])
+        return F.struct(F.when(named == "/dev/null", "").otherwise(F.regexp_replace(named, "^b/", "")).alias("file"), spans.alias("spans"))
+
+    named = patches.select("patch_id", F.filter(F.transform(sections, section), lambda s: s["file"] != "").alias("s"))
     none = F.lit(None).cast("int")
-    empty = rows.groupBy("patch_id", "file").agg(F.max(F.coalesce("n", F.lit(0))).alias("n")).where("n = 0").select("patch_id", "file", none.alias("first"), none.alias("last"))
-    return spans.unionByName(empty)
+    names = lambda some: F.transform(F.filter("s", lambda s: (F.size(s["spans"]) > 0) == F.lit(some)), lambda s: s["file"])
+    row = lambda file, first, last: F.struct(file.alias("file"), first.alias("first"), last.alias("last"))
+    spans = F.flatten(F.transform("s", lambda s: F.transform(s["spans"], lambda x: row(s["file"], x["first"], x["last"]))))
+    empty = F.transform(F.array_except(names(False), names(True)), lambda f: row(f, none, none))
+    return named.select("patch_id", F.inline(F.concat(spans, empty)))
 
 
 def changed(spark: SparkSession, patch: str) -> tuple[DataFrame, DataFrame]:

@@ -59,3 +59,15 @@ def test_narrowing_joins_once(spark):
         x = suppression.on_changed_lines(f, changed, given)
         assert sorted(r.i for r in x.collect()) == want
         assert x._jdf.queryExecution().sparkPlan().toString().count("LeftSemi") == 1
+
+
+def test_hunks_need_no_shuffle(spark):
+    from tarnsieve.sources.patches import hunks
+
+    text = "@@ -1 +7 @@\n+++ b/a\n@@ -1,2 +3,0 @@\n--- x\n+++ b/c d \n@@ -1 +4 @@\n@@ odd\n+y\n+++ /dev/null\n@@ -1 +0,0 @@\n+++ b/a\n@@ -9 +9,2 @@ f\n+++ e\n@@ -1 +2,0 @@\n+++ e\n"
+    two = spark.createDataFrame([(1, text), (1, "+++ b/z"), (None, "+++ z\r\n@@ -1 +0,1 @@"), (2, ""), (3, None), (4, "x +++ b/n\n@@ -1 +1 @@")], "patch_id int, text string")
+    x = hunks(two)
+    want = [(None, "z\r", 0, 0), (1, "a", 9, 10), (1, "c d", 4, 4), (1, "e", None, None), (1, "z", None, None)]
+    assert sorted(map(tuple, x.collect()), key=str) == sorted(want, key=str)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
